@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.align import feature_stats
 from ..operators.cohort import Cohort
@@ -28,11 +28,11 @@ def feature_table(expression: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["gene"] for r in rows], means
 
 
-def over_folds(k: int, parallelism: int, run: Callable[[int], DataFrame]) -> DataFrame:
+def over_folds(spark: SparkSession, k: int, parallelism: int, run: Callable[[int], DataFrame]) -> DataFrame:
     """Run the folds with a few at a time in flight and stack their held-out rows."""
     pool = ThreadPool(min(k, parallelism))
     try:
-        parts = pool.map(inheritable_thread_target(run), range(1, k + 1))
+        parts = pool.map(inheritable_thread_target(spark)(run), range(1, k + 1))
     finally:
         pool.close()
     return reduce(DataFrame.unionByName, parts)

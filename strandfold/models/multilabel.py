@@ -101,7 +101,8 @@ class MultiLabelModel:
 
     def predict(self, data: Cohort | DataFrame, min_feature_overlap: float | None = None) -> DataFrame:
         """``sample_id, target, probability, prediction``."""
-        return long_scores(self.network.predict(self.align(data, min_feature_overlap)), self.targets)
+        dense = self.align(data, min_feature_overlap)
+        return long_scores(self.network.predict(dense), self.targets)
 
     def score_dense(self, dense: DataFrame) -> DataFrame:
         """Scores of rows that are already in model order; also for streaming frames."""
@@ -110,7 +111,8 @@ class MultiLabelModel:
 
     def embed(self, data: Cohort | DataFrame, min_feature_overlap: float | None = None) -> DataFrame:
         """``sample_id, embedding``."""
-        return self.network.embed(self.align(data, min_feature_overlap))
+        dense = self.align(data, min_feature_overlap)
+        return self.network.embed(dense)
 
     def head_weights(self, spark: SparkSession) -> DataFrame:
         """``target, weights``."""
@@ -149,7 +151,7 @@ class MultiLabelModel:
             held_out = table.filter(F.col("fold") == fold)
             return network.predict(held_out).withColumn("fold", F.lit(fold).cast("bigint")).checkpoint()
 
-        scored = over_folds(self.folds, self.parallelism, one)
+        scored = over_folds(table.sparkSession, self.folds, self.parallelism, one)
         truth = long_rows(table, targets, "labels", "target", "truth").withColumn("truth", F.col("truth").cast("int"))
         scores = (
             long_scores(scored, targets)

@@ -277,7 +277,7 @@ def _run_epoch(data: DataFrame, replicas: int, state: np.ndarray, steps: int, ep
 
     schema = "chunk int, rows bigint, loss double, steps bigint, part binary"
 
-    def average(key, parts: pd.DataFrame) -> pd.DataFrame:
+    def average(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         share = parts["rows"] / parts["rows"].sum()
         mean = sum(w * np.frombuffer(p, dtype="float32") for w, p in zip(share, parts["part"])).astype("float32")
         return pd.DataFrame(

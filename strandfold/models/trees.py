@@ -37,7 +37,9 @@ def _spark_params(kind: str, params: dict | None) -> dict:
 
 
 def make_regressor(kind: str, params: dict | None = None):
+    """Regression forests look at every feature in each split, classification forests at a square root of them."""
     estimator = GBTRegressor if kind == "gradient_boosting" else RandomForestRegressor
+    params = {"featureSubsetStrategy": "all", **(params or {})}
     return estimator(featuresCol="vector", labelCol="label", predictionCol="prediction", **_spark_params(kind, params))
 
 
