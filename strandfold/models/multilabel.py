@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from ..operators.cohort import Cohort
 from ..operators.collapse import collapse
 from ..operators.folds import assign_folds
 from ..operators.metrics import evaluate
-from ..session import shared_dir
+from ..session import local_table, shared_dir
 from ..sources.export import read_metadata, write_bundle
 from .common import expression_of, feature_table, over_folds
 from .explain import Explanation, explain_target
@@ -117,8 +117,8 @@ class MultiLabelModel:
     def head_weights(self, spark: SparkSession) -> DataFrame:
         """``target, weights``."""
         self._check_fitted()
-        rows = pd.DataFrame({"target": self.targets, "weights": [w.tolist() for w in self.network.head_weights()]})
-        return spark.createDataFrame(rows, "target string, weights array<float>")
+        weights = pa.array([w.tolist() for w in self.network.head_weights()], pa.list_(pa.float32()))
+        return local_table(spark, target=pa.array(self.targets, pa.string()), weights=weights)
 
     # ---------------------------------------------------------- explain
     def explain(
@@ -176,20 +176,23 @@ class MultiLabelModel:
         """A directory of Parquet tables and one metadata row."""
         self._check_fitted()
         net = self.network
-        layers, at = [], 0
-        for name, shape in net.shapes:
-            size = int(np.prod(shape))
-            layers.append((name, list(shape), net.parameters[at : at + size].tolist()))
-            at += size
-        features = pd.DataFrame(
-            {"idx": range(len(self.features)), "gene": self.features, "fill": self.feature_means, "mean": net.mean, "scale": net.scale}
-        )
+        names, shapes = zip(*net.shapes)
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        values = [part for part in np.split(net.parameters, ends[:-1])]
         history_schema = "epoch bigint, train_loss double, validation_loss double, learning_rate double"
         history = [tuple(h.get(c.split()[0]) for c in history_schema.split(", ")) for h in net.history]
         tables = {
-            "layers": spark.createDataFrame(layers, "name string, shape array<int>, values array<float>"),
-            "features": spark.createDataFrame(features, "idx int, gene string, fill double, mean double, scale double"),
-            "targets": spark.createDataFrame(list(enumerate(self.targets)), "idx int, target string"),
+            "layers": local_table(
+                spark, name=pa.array(names), shape=pa.array([list(s) for s in shapes], pa.list_(pa.int32())),
+                values=pa.array(values, pa.list_(pa.float32())),
+            ),
+            "features": local_table(
+                spark, idx=pa.array(range(len(self.features)), pa.int32()), gene=pa.array(self.features, pa.string()),
+                fill=pa.array(self.feature_means), mean=pa.array(net.mean), scale=pa.array(net.scale),
+            ),
+            "targets": local_table(
+                spark, idx=pa.array(range(len(self.targets)), pa.int32()), target=pa.array(self.targets, pa.string())
+            ),
             "history": spark.createDataFrame(history, history_schema),
         }
         metadata = {
@@ -205,7 +208,8 @@ class MultiLabelModel:
         model.features = features["gene"].tolist()
         model.feature_means = features["fill"].to_numpy()
         model.targets = [r["target"] for r in spark.read.parquet(f"{path}/targets").orderBy("idx").collect()]
-        stored = {r["name"]: np.array(r["values"], dtype="float32") for r in spark.read.parquet(f"{path}/layers").collect()}
+        layers = spark.read.parquet(f"{path}/layers").toArrow().to_pydict()
+        stored = {n: np.array(v, dtype="float32") for n, v in zip(layers["name"], layers["values"])}
         network = Network(
             len(model.features), len(model.targets), model.settings, np.zeros(0, "float32"),
             features["mean"].to_numpy(), features["scale"].to_numpy(),

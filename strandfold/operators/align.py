@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 
 
 def feature_stats(expression: DataFrame) -> DataFrame:
@@ -41,7 +44,8 @@ def check_overlap(expression: DataFrame, features: list[str], min_overlap: float
 
 
 def _dictionary(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame(pd.DataFrame({"idx": range(len(features)), "gene": features}), "idx int, gene string")
+    idx = pa.array(range(len(features)), pa.int32())
+    return local_table(df.sparkSession, idx=idx, gene=pa.array(features, pa.string()))
 
 
 def with_index(cells: DataFrame, features: list[str], key: str = "gene") -> DataFrame:
@@ -85,10 +89,11 @@ def align_features(
 ) -> tuple[DataFrame, float]:
     """Dense rows in model order: repeated genes averaged, extra genes dropped, gaps filled with training means.
 
-    One shuffle by sample serves both the averaging and the gathering.
+    Averaging combines before its shuffle and leaves a sample at most one cell per feature, so the gathering
+    that follows is bounded even for a sample that is repeated very often.
     """
     overlap = check_overlap(expression, features, min_overlap)
-    wanted = expression.join(_dictionary(expression, features), "gene").repartition("sample_id")
+    wanted = expression.join(_dictionary(expression, features), "gene")
     averaged = wanted.groupBy("sample_id", "idx").agg(F.avg("value").alias("value"))
     return dense_rows(averaged, samples, len(features), means), overlap
 

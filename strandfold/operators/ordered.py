@@ -24,8 +24,10 @@ def totals_before(
     ``df`` must hold one row per (group, value).
     """
     group = list(group)
+    # The totals make this read the same columns as the rows below, so Spark reuses one exchange for both.
     cuts = df.groupBy(*group).agg(
-        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts")
+        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"),
+        *[F.sum(m).alias(f"{m}_all") for m in measures],
     )
     ranged = df.join(cuts, group).withColumn(
         "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
@@ -35,13 +37,11 @@ def totals_before(
         return F.desc(name) if descending else F.asc(name)
 
     over_ranges = W.partitionBy(*group).orderBy(order("_range"))
-    everything = W.partitionBy(*group)
     sums = ranged.groupBy(*group, "_range").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = sums.select(
         *group,
         "_range",
         *[F.coalesce(F.sum(m).over(over_ranges.rowsBetween(*BEFORE)), F.lit(0)).alias(f"_{m}_offset") for m in measures],
-        *[F.sum(m).over(everything).alias(f"{m}_all") for m in measures],
     )
     within = W.partitionBy(*group, "_range").orderBy(order(value)).rowsBetween(*BEFORE)
     joined = ranged.join(offsets, [*group, "_range"])

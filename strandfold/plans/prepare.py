@@ -20,6 +20,7 @@ from ..operators.cohort import (
 )
 from ..operators.collapse import annotate, burden_counts, collapse
 from ..operators.targets import keep_selected
+from ..session import materialise
 from ..sources.annotation import read_annotation
 from ..sources.cache import cached_cohort
 from ..sources.events import read_events
@@ -107,16 +108,21 @@ def prepare_cohorts(
     codes = cohort_code_list(cancers)
 
     def build() -> Cohort:
-        annotation = read_annotation(spark, annotation_path)
+        # Each source is read once and stored: matching, gene sharing and selection all come back to it, and
+        # the annotation is then broadcast on its true size.
+        annotation = materialise(read_annotation(spark, annotation_path), "annotation")
         expression = {
-            c: clean_expression(read_expression(spark, expression_path.format(cancer=c)), annotation, settings) for c in codes
+            c: materialise(
+                clean_expression(read_expression(spark, expression_path.format(cancer=c)), annotation, settings), f"expression_{c}"
+            )
+            for c in codes
         }
         burden = {c: burden_counts(read_events(spark, event_path.format(cancer=c))) for c in codes} if event_path else {}
         if mutation_path is None:
             return combine_burden({c: (expression[c], burden[c]) for c in codes})
         parts = {}
         for c in codes:
-            cells = read_mutations(spark, mutation_path.format(cancer=c))
+            cells = materialise(read_mutations(spark, mutation_path.format(cancer=c)), f"mutations_{c}")
             parts[c] = (expression[c], clean_mutations(cells, annotation, settings), cells.select("sample_id").distinct())
         cohort = combine(parts, settings)
         if not burden:

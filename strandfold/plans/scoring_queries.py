@@ -13,7 +13,7 @@ from ..operators import targets as ta
 from ..operators.attribution import attribution_summary, top_attributions
 from ..operators.folds import plain_folds, seeded_sample, stratified_folds
 from ..operators.transfer import neighbour_mixing, principal_components, rank_normalise
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..streaming.burden import windowed_burden
 from ..streaming.run import drain, score_stream
 from .fixtures import CODING_EVENTS, Tables
@@ -302,7 +302,8 @@ def seeded_sample_query(t: Tables):
     ("fx_expression", "fx_samples"),
 )
 def rank_normalise_query(t: Tables):
-    tagged = t.expression().join(t.samples(), "sample_id")
+    # Read many times below, as a prepared cohort would be.
+    tagged = materialise(t.expression().join(t.samples(), "sample_id"), "expression")
     mapped = rank_normalise(tagged.filter(F.col("cancer") == "BUILDING"), tagged.filter(F.col("cancer") == "MACHINERY"))
     return _round(mapped, "value", digits=5)
 

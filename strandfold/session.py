@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,3 +57,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small driver-side table. Arrow makes it a local relation of known size, so joins with it are broadcast
+    exactly when that size allows."""
+    return spark.createDataFrame(pa.table(columns))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import canonical_sample_id
 from ..functions.values import number
+from ..session import materialise
 
 SAMPLE_PREFIX = "TCGA-"
 
@@ -27,22 +28,32 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Long cells of one or more wide files (plain or compressed); every file brings its own header line."""
+    """Long cells of one or more wide files (plain or compressed); every file brings its own header line.
+
+    Headers are found first and stored: a row per file, and a row per column of each different header. Being
+    real files of known size, they are broadcast exactly when they are small, and the cells then come out of
+    the scan without a shuffle.
+    """
     lines = _lines(spark, path).filter(F.length("value") > 0)
     first = lines.groupBy("file").agg(
         F.min("row_pos").alias("header_pos"), F.min_by("value", "row_pos").alias("header")
     )
+    first = materialise(first.withColumn("header_id", F.sha2("header", 256)), "headers")
     pattern = "\\Q" + sep + "\\E"
-    columns = first.select(
-        "file", F.posexplode(F.split("header", pattern, -1)).alias("column_pos", "column_id")
-    ).filter(F.col("column_pos") > 0)
-    body = lines.join(first.select("file", "header_pos"), "file").filter(F.col("row_pos") > F.col("header_pos"))
+    columns = first.groupBy("header_id").agg(F.min("header").alias("header")).select(
+        "header_id", F.posexplode(F.split("header", pattern, -1)).alias("column_pos", "column_id")
+    )
+    columns = materialise(columns.filter(F.col("column_pos") > 0), "columns")
+    body = lines.join(first.select("file", "header_id", "header_pos"), "file").filter(F.col("row_pos") > F.col("header_pos"))
     cells = (
-        body.select("file", "row_pos", F.split("value", pattern, -1).alias("fields"))
-        .select("file", "row_pos", F.get("fields", F.lit(0)).alias("row_id"), F.posexplode("fields").alias("column_pos", "text"))
+        body.select("file", "header_id", "row_pos", F.split("value", pattern, -1).alias("fields"))
+        .select(
+            "file", "header_id", "row_pos", F.get("fields", F.lit(0)).alias("row_id"),
+            F.posexplode("fields").alias("column_pos", "text"),
+        )
         .filter(F.col("column_pos") > 0)
     )
-    return cells.join(columns, ["file", "column_pos"]).select(
+    return cells.join(columns, ["header_id", "column_pos"]).select(
         "file", "row_id", "column_id", "row_pos", "column_pos", number(F.col("text")).alias("value")
     )
 
