@@ -74,9 +74,8 @@ def pivot_export(t: Tables):
     ("fx_mutations",),
 )
 def detect_orientation(t: Tables):
-    return sample_id_shares(
-        t.mutations().select(F.concat(F.lit("TCGA-"), "sample_id").alias("row_id"), F.col("target").alias("column_id"))
-    )
+    calls = t.mutations()
+    return sample_id_shares(calls.select(F.concat(F.lit("TCGA-"), "sample_id")), calls.select("target"))
 
 
 @query(
@@ -84,8 +83,7 @@ def detect_orientation(t: Tables):
     "SELECT 'S' || o_custkey AS sample_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
 )
 def unique_samples_check(t: Tables):
-    rows = t.table("orders").select(t.sample("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("row_pos"))
-    return duplicate_samples(rows)
+    return duplicate_samples(t.table("orders").select(t.sample("o_custkey").alias("sample_id")))
 
 
 def _attribute_text():

@@ -41,7 +41,7 @@ DEFAULTS = {
 def clean_expression(cells: DataFrame, annotation: DataFrame, settings: Mapping) -> DataFrame:
     """Transform, name and collapse raw cells: ``sample_id, gene, value``."""
     values = cells.withColumn("value", transform_expression(F.col("value"), settings["transform"], settings["offset"]))
-    return collapse(annotate(values, annotation, settings["protein_coding_only"]), settings["collapse"])
+    return collapse(annotate(values, annotation, settings["protein_coding_only"]), settings["collapse"], "gene_id_pos")
 
 
 def clean_mutations(cells: DataFrame, annotation: DataFrame, settings: Mapping) -> DataFrame:

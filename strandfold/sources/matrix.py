@@ -1,12 +1,15 @@
 """Readers for wide delimited matrices, all into one long form.
 
 A wide file has one header line; its names are data here, never schema, so a matrix may have any number of
-columns. Long form: ``row_id, column_id, value`` plus the source order ``row_pos`` and ``column_pos``.
+columns. Questions about row names are answered from the unexploded rows and questions about column names
+from the headers, so only readers of values pay for the cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import canonical_sample_id
@@ -16,119 +19,112 @@ from ..session import materialise
 SAMPLE_PREFIX = "TCGA-"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and an order that follows the file."""
-    return spark.read.text(path).select(
+@dataclass(frozen=True)
+class WideMatrix:
+    """rows(file, header_id, row_pos, row_id, fields) and columns(header_id, column_pos, column_id)."""
+
+    rows: DataFrame
+    columns: DataFrame
+
+    def cells(self) -> DataFrame:
+        """``file, row_id, column_id, row_pos, column_pos, value``; text that is not a number is NULL.
+
+        The column table is small (one row per column of each different header) and stored, so Spark knows
+        its true size and broadcasts it where that is small: the cells leave the scan without a shuffle.
+        """
+        exploded = self.rows.select(
+            "file", "header_id", "row_pos", "row_id", F.posexplode("fields").alias("column_pos", "text")
+        ).filter(F.col("column_pos") > 0)
+        return exploded.join(self.columns, ["header_id", "column_pos"]).select(
+            "file", "row_id", "column_id", "row_pos", "column_pos", number(F.col("text")).alias("value")
+        )
+
+
+def read_wide(spark: SparkSession, path: str, sep: str = "\t") -> WideMatrix:
+    """One or more wide files, plain or compressed; every file brings its own header line."""
+    pattern = "\\Q" + sep + "\\E"
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
+        # Block offset and reading order together follow the order of lines inside a file.
         F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
         ).alias("row_pos"),
         "value",
-    )
-
-
-def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Long cells of one or more wide files (plain or compressed); every file brings its own header line.
-
-    Headers are found first and stored: a row per file, and a row per column of each different header. Being
-    real files of known size, they are broadcast exactly when they are small, and the cells then come out of
-    the scan without a shuffle.
-    """
-    lines = _lines(spark, path).filter(F.length("value") > 0)
-    first = lines.groupBy("file").agg(
+    ).filter(F.length("value") > 0)
+    headers = lines.groupBy("file").agg(
         F.min("row_pos").alias("header_pos"), F.min_by("value", "row_pos").alias("header")
     )
-    first = materialise(first.withColumn("header_id", F.sha2("header", 256)), "headers")
-    pattern = "\\Q" + sep + "\\E"
-    columns = first.groupBy("header_id").agg(F.min("header").alias("header")).select(
+    headers = materialise(headers.withColumn("header_id", F.sha2("header", 256)), "headers")
+    columns = headers.groupBy("header_id").agg(F.min("header").alias("header")).select(
         "header_id", F.posexplode(F.split("header", pattern, -1)).alias("column_pos", "column_id")
     )
     columns = materialise(columns.filter(F.col("column_pos") > 0), "columns")
-    body = lines.join(first.select("file", "header_id", "header_pos"), "file").filter(F.col("row_pos") > F.col("header_pos"))
-    cells = (
-        body.select("file", "header_id", "row_pos", F.split("value", pattern, -1).alias("fields"))
-        .select(
-            "file", "header_id", "row_pos", F.get("fields", F.lit(0)).alias("row_id"),
-            F.posexplode("fields").alias("column_pos", "text"),
-        )
-        .filter(F.col("column_pos") > 0)
-    )
-    return cells.join(columns, ["header_id", "column_pos"]).select(
-        "file", "row_id", "column_id", "row_pos", "column_pos", number(F.col("text")).alias("value")
+    body = lines.join(headers.select("file", "header_id", "header_pos"), "file").filter(F.col("row_pos") > F.col("header_pos"))
+    rows = body.select("file", "header_id", "row_pos", F.split("value", pattern, -1).alias("fields")).withColumn(
+        "row_id", F.get("fields", F.lit(0))
     )
+    return WideMatrix(rows, columns)
 
 
-def transpose(cells: DataFrame) -> DataFrame:
-    """Swap the roles of rows and columns; in long form that is a rename."""
-    return cells.select(
-        "file",
-        F.col("column_id").alias("row_id"),
-        F.col("row_id").alias("column_id"),
-        F.col("column_pos").alias("row_pos"),
-        F.col("row_pos").alias("column_pos"),
-        "value",
+def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    return read_wide(spark, path, sep).cells()
+
+
+def sample_id_shares(row_names: DataFrame, column_names: DataFrame) -> DataFrame:
+    """Share of sample-like names among the distinct names of either side (one name column each)."""
+    sides = [
+        df.toDF("name").distinct().select(F.lit(side).alias("side"), F.col("name").startswith(SAMPLE_PREFIX).alias("is_sample"))
+        for side, df in (("row", row_names), ("column", column_names))
+    ]
+    share = F.avg(F.col("is_sample").cast("double"))
+    return sides[0].unionByName(sides[1]).groupBy("side").agg(F.count(F.lit(1)).alias("n_names"), share.alias("share"))
+
+
+def _samples_in_rows(matrix: WideMatrix, feature: str) -> DataFrame:
+    """``sample_id, <feature>, value`` of a samples-in-rows matrix; of rows for one sample the first is kept."""
+    named = matrix.rows.withColumn("sample_id", canonical_sample_id(F.col("row_id")))
+    first = named.groupBy("sample_id").agg(F.min("row_pos").alias("row_pos"))
+    kept = WideMatrix(named.join(first, ["sample_id", "row_pos"]).withColumn("row_id", F.col("sample_id")), matrix.columns)
+    return kept.cells().select(
+        F.col("row_id").alias("sample_id"), F.col("column_id").alias(feature), "value", F.col("column_pos").alias(f"{feature}_pos")
     )
 
 
-def sample_id_shares(cells: DataFrame, row: str = "row_id", column: str = "column_id") -> DataFrame:
-    """Share of sample-like names among the distinct row names and among the distinct column names."""
-    names = cells.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("row").alias("side"), F.col(row).alias("name")),
-                F.struct(F.lit("column").alias("side"), F.col(column).alias("name")),
-            )
-        ).alias("n")
-    ).select("n.side", "n.name").distinct()
-    share = F.avg(F.col("name").startswith(SAMPLE_PREFIX).cast("double"))
-    return names.groupBy("side").agg(F.count(F.lit(1)).alias("n_names"), share.alias("share"))
+def _samples_in_columns(matrix: WideMatrix, feature: str) -> DataFrame:
+    """``sample_id, <feature>, value`` of a samples-in-columns matrix; the header alone decides what is kept."""
+    named = matrix.columns.withColumn("sample_id", canonical_sample_id(F.col("column_id")))
+    first = named.groupBy("header_id", "sample_id").agg(F.min("column_pos").alias("column_pos"))
+    columns = materialise(first.withColumnRenamed("sample_id", "column_id"), "sample_columns")
+    return WideMatrix(matrix.rows, columns).cells().select(
+        F.col("column_id").alias("sample_id"), F.col("row_id").alias(feature), "value", F.col("row_pos").alias(f"{feature}_pos")
+    )
 
 
 def read_expression(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Features in rows, samples in columns. Out: ``sample_id, gene_id, value, sample_pos, gene_pos``.
-
-    Ids are canonical; where several columns map to one sample, the first column is kept.
-    """
-    return _by_sample(transpose(read_matrix(spark, path, sep)), "gene_id", "gene_pos")
+    """One cohort's file, features in rows and samples in columns: ``sample_id, gene_id, value, gene_id_pos``."""
+    return _samples_in_columns(read_wide(spark, path, sep), "gene_id")
 
 
 def read_mutations(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Mutation matrix in either orientation. Out: ``sample_id, target, value, sample_pos, target_pos``."""
-    cells = read_matrix(spark, path, sep)
-    shares = {row["side"]: row["share"] for row in sample_id_shares(cells).collect()}
+    """One cohort's mutation matrix in either orientation: ``sample_id, target, value, target_pos``."""
+    matrix = read_wide(spark, path, sep)
+    shares = {
+        r["side"]: r["share"]
+        for r in sample_id_shares(matrix.rows.select("row_id"), matrix.columns.select("column_id")).collect()
+    }
     if shares.get("column", 0.0) > shares.get("row", 0.0):
-        cells = transpose(cells)
-    return _by_sample(cells, "target", "target_pos")
+        return _samples_in_columns(matrix, "target")
+    return _samples_in_rows(matrix, "target")
 
 
-def _by_sample(cells: DataFrame, feature: str, feature_pos: str) -> DataFrame:
-    named = cells.withColumn("sample_id", canonical_sample_id(F.col("row_id")))
-    first = named.groupBy("sample_id").agg(F.min("row_pos").alias("row_pos"))
-    return named.join(first, ["sample_id", "row_pos"]).select(
-        "sample_id",
-        F.col("column_id").alias(feature),
-        "value",
-        F.col("row_pos").alias("sample_pos"),
-        F.col("column_pos").alias(feature_pos),
-    )
-
-
-def duplicate_samples(cells: DataFrame, sample: str = "sample_id", row_pos: Column | str = "row_pos") -> DataFrame:
-    """Sample ids that head more than one row."""
-    return (
-        cells.select(sample, F.col(row_pos) if isinstance(row_pos, str) else row_pos)
-        .distinct()
-        .groupBy(sample)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
-    )
+def duplicate_samples(rows: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """Ids that head more than one row."""
+    return rows.groupBy(sample).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
 def read_scoring_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Samples in rows, genes in columns; a repeated sample id is an error."""
-    cells = read_matrix(spark, path, sep).select(
-        F.col("row_id").alias("sample_id"), F.col("column_id").alias("gene"), "value", "row_pos"
-    )
-    if duplicate_samples(cells).limit(1).count():
+    """Samples in rows, genes in columns: ``sample_id, gene, value``. A repeated sample id is an error."""
+    matrix = read_wide(spark, path, sep)
+    if duplicate_samples(matrix.rows.select("row_id"), "row_id").limit(1).count():
         raise ValueError("Expression sample identifiers must be unique.")
-    return cells.drop("row_pos")
+    return matrix.cells().select(F.col("row_id").alias("sample_id"), F.col("column_id").alias("gene"), "value")

@@ -12,7 +12,7 @@ from strandfold.operators.targets import class_weights, prevalence, select_targe
 from strandfold.sources.annotation import read_annotation
 from strandfold.sources.cache import prepared_path, read_prepared, settings_digest
 from strandfold.sources.events import preferred_column, read_events
-from strandfold.sources.export import read_metadata, write_bundle, write_wide
+from strandfold.sources.export import export_cohort, read_metadata, write_bundle, write_wide
 from strandfold.sources.matrix import read_expression, read_matrix, read_mutations, read_scoring_matrix
 
 A, B = "TCGA-AB-0001-01A", "TCGA-AB-0002-01A"
@@ -244,3 +244,16 @@ def test_exports(spark, tmp_path):
     assert spark.read.parquet(f"{where}/cells").count() == 3
     with pytest.raises(Exception):
         write_bundle(spark, where, {"cells": cells}, {})
+
+
+def test_cohort_export(spark, tmp_path):
+    cells = spark.createDataFrame([("s1", "A", 1.5), ("s2", "B", 2.0)], "sample_id string, gene string, value double")
+    calls = spark.createDataFrame([("s1", "T", 1)], "sample_id string, target string, label int")
+    data = Cohort.from_tables(cells, calls)
+    assert export_cohort(data, str(tmp_path / "wide"))["n_targets"] == 1
+    back = read_scoring_matrix(spark, str(tmp_path / "wide" / "mutations"))
+    assert sorted(map(tuple, back.collect())) == [("s1", "T", 1.0), ("s2", "T", 0.0)]
+    back = read_scoring_matrix(spark, str(tmp_path / "wide" / "expression")).filter("value is not null")
+    assert sorted(map(tuple, back.collect())) == [("s1", "A", 1.5), ("s2", "B", 2.0)]
+    export_cohort(data, str(tmp_path / "long"), wide=False)
+    assert spark.read.parquet(str(tmp_path / "long" / "expression")).count() == 2
