@@ -53,7 +53,7 @@ def normalised_auprc(auprc: Column, prevalence: Column) -> Column:
     )
 
 
-def ranking_metrics(scores: DataFrame, group: Sequence[str] = ("target",), ranges: int = 32) -> DataFrame:
+def ranking_metrics(scores: DataFrame, group: Sequence[str] = ("target",), ranges: int | None = None) -> DataFrame:
     """Average precision over distinct scores and tie-corrected ROC AUC; missing for one-class targets."""
     group = list(group)
     distinct = scores.groupBy(*group, "probability").agg(

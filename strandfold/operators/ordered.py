@@ -13,35 +13,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 BEFORE = (W.unboundedPreceding, -1)
 
 
 def totals_before(
-    df: DataFrame, group: Sequence[str], value: str, measures: Sequence[str], descending: bool = False, ranges: int = 32
+    df: DataFrame, group: Sequence[str], value: str, measures: Sequence[str], descending: bool = False, ranges: int | None = None
 ) -> DataFrame:
     """Add ``<m>_before``, the total of ``m`` over the strictly preceding values of the group, and ``<m>_all``.
 
-    ``df`` must hold one row per (group, value).
+    ``df`` must hold one row per (group, value). Spark's range partitioner cuts the rows, ordered by group and
+    value, into even pieces, so a large group has many pieces and many small groups share one. The pieces are
+    stored with their number, since both passes below must see the same cuts.
     """
     group = list(group)
-    # The totals make this read the same columns as the rows below, so Spark reuses one exchange for both.
-    cuts = df.groupBy(*group).agg(
-        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"),
-        *[F.sum(m).alias(f"{m}_all") for m in measures],
-    )
-    ranged = df.join(cuts, group).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
+    pieces = df.repartitionByRange(ranges, *group, value) if ranges else df.repartitionByRange(*group, value)
+    ranged = materialise(pieces.withColumn("_range", F.spark_partition_id()), "ranges")
 
     def order(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
 
-    over_ranges = W.partitionBy(*group).orderBy(order("_range"))
+    # One row per group and piece.
+    over_ranges = W.partitionBy(*group).orderBy(order("_range")).rowsBetween(*BEFORE)
     sums = ranged.groupBy(*group, "_range").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = sums.select(
         *group,
         "_range",
-        *[F.coalesce(F.sum(m).over(over_ranges.rowsBetween(*BEFORE)), F.lit(0)).alias(f"_{m}_offset") for m in measures],
+        *[F.coalesce(F.sum(m).over(over_ranges), F.lit(0)).alias(f"_{m}_offset") for m in measures],
+        *[F.sum(m).over(W.partitionBy(*group)).alias(f"{m}_all") for m in measures],
     )
     within = W.partitionBy(*group, "_range").orderBy(order(value)).rowsBetween(*BEFORE)
     joined = ranged.join(offsets, [*group, "_range"])
@@ -52,7 +52,7 @@ def totals_before(
     return joined.drop("_range", *[f"_{m}_offset" for m in measures])
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, ranges: int = 32) -> DataFrame:
+def average_ranks(df: DataFrame, group: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
     """One row per (group, value): average 1-based rank ``rank``, copies ``n`` and group size ``n_all``."""
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = totals_before(counted, group, value, ["n"], ranges=ranges)
