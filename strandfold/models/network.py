@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import seeded_ordinals
+from ..session import shared_dir
 
 # Default settings.
 DEFAULTS = {
@@ -317,6 +318,7 @@ def fit_network(dense: DataFrame, overrides: dict | None = None, validate: bool
     ``validate`` holds out a seeded share, halves the rate on a plateau, stops early and restores the best
     state; otherwise the number of epochs is fixed. The input scaling is taken from all given rows.
     """
+    shared_dir(dense.sparkSession)
     settings = resolve_settings(overrides)
     stats = _column_stats(dense)
     n, outputs, inputs = stats["n"], len(stats["positives"]), len(stats["mean"])

@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if configured:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
