@@ -32,8 +32,9 @@ class WideMatrix:
         The column table is small (one row per column of each different header) and stored, so Spark knows
         its true size and broadcasts it where that is small: the cells leave the scan without a shuffle.
         """
+        # The outer form keeps Spark from testing the split for emptiness once more in the scan.
         exploded = self.rows.select(
-            "file", "header_id", "row_pos", "row_id", F.posexplode("fields").alias("column_pos", "text")
+            "file", "header_id", "row_pos", "row_id", F.posexplode_outer("fields").alias("column_pos", "text")
         ).filter(F.col("column_pos") > 0)
         return exploded.join(self.columns, ["header_id", "column_pos"]).select(
             "file", "row_id", "column_id", "row_pos", "column_pos", number(F.col("text")).alias("value")
