@@ -10,7 +10,7 @@ from ..operators import cohort as co
 from ..operators.collapse import annotate, burden_counts, collapse, probes_to_genes
 from ..operators.dedupe import keep_first
 from ..operators.targets import status_labels
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources.annotation import annotation_from_attributes, read_annotation
 from ..sources.cache import cached_cohort
 from ..sources.events import read_events, resolve_events
@@ -363,7 +363,8 @@ def cohort_summary(t: Tables):
 
 
 def _by_cohort(t: Tables, table):
-    tagged = table.join(t.samples(), "sample_id")
+    # Read once per cohort and use below.
+    tagged = materialise(table.join(t.samples(), "sample_id"), "tagged")
     return {s: tagged.filter(F.col("cancer") == s).drop("cancer") for s in SEGMENTS}
 
 

@@ -107,7 +107,8 @@ def standardise(t: Tables):
     ("fx_expression", "fx_samples"),
 )
 def align_features(t: Tables):
-    expression, samples = t.expression(), t.samples()
+    # Read for the means, the overlap check and the rows.
+    expression, samples = materialise(t.expression(), "expression"), t.samples()
     training = expression.join(samples.filter(F.col("cancer") == "BUILDING"), "sample_id", "left_semi")
     means = {r["gene"]: r["mean"] for r in al.feature_stats(training).collect()}
     means["ABSENT"] = 7.5
