@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import arcwarc, chatformat
+from . import arcwarc, chatformat, divergence, neardup
 from . import decontaminate as contamination
 from . import shards as sharding
 from .common import table
@@ -48,6 +48,38 @@ FROM d LEFT JOIN hit USING (row) LEFT JOIN ids USING (row)
 """
 
 
+#: Words of raw text in DuckDB, between ASCII white space.
+SPACED_SQL = r"list_filter(string_split_regex({t}, '[\x09-\x0D\x20]+'), lambda x: x <> '')"
+LOWERED_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query
+def op1_divergence(spark: SparkSession, directory: str) -> DataFrame:
+    return divergence.judge(table(spark, directory, "documents").select("doc_id", "lang", "text"))
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, directory, "documents").select("doc_id", "text"))
+
+
+ORACLES["op2_near_duplicates"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACED_SQL.format(t=LOWERED_SQL)} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(len(w), 5) - 1], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)
+),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
 @query
 def op6_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents").select("doc_id", "text")
