@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import arcwarc, chatformat, divergence, neardup
+from . import arcwarc, chatformat, divergence, linedup, mixing, neardup, packing
 from . import decontaminate as contamination
 from . import shards as sharding
+from . import toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,56 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach
 """
 
 
+@query
+def op3_pack_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(table(spark, directory, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    settings = toxicity.Settings()
+    scored = toxicity.fit(docs, table(spark, directory, "labels"), settings).score(docs)
+    return scored.select(
+        "doc_id", (toxicity.remainder() == 2).alias("held_out"), F.col("score").cast("double").alias("score"), (F.col("score") >= settings.threshold).cast("int").alias("predicted")
+    )
+
+
+@query
+def op5_line_runs(spark: SparkSession, directory: str) -> DataFrame:
+    found = linedup.deleted_lines(table(spark, directory, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("deleted_lines").cast("bigint").alias("n_deleted"), F.array_join("deleted_lines", ",").alias("deleted_lines"))
+
+
+#: Every run of up to 50 lines with at least 50 words, and whether an equal one starts earlier. Exact, but only for small tables.
+ORACLES["op5_line_runs"] = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+flat AS (SELECT doc_id, unnest(ls) AS t, unnest(range(len(ls))) AS line FROM d),
+words AS (SELECT *, len({SPACED_SQL.format(t='t')}) AS w FROM flat),
+seq AS MATERIALIZED (
+  SELECT doc_id, line, t, w, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS p,
+    sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS upto, count(*) OVER (PARTITION BY doc_id) AS n FROM words WHERE w > 0
+),
+docs AS MATERIALIZED (SELECT doc_id, list(t ORDER BY p) AS ts, list(upto ORDER BY p) AS us FROM seq GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, p, k, md5(array_to_string(ts[p : p + k - 1], chr(10))) AS h
+  FROM (SELECT docs.doc_id, ts, us, p, w, upto, unnest(range(1, least(50, n - p + 1) + 1)) AS k FROM seq JOIN docs USING (doc_id))
+  WHERE us[p + k - 1] - upto + w >= 50
+),
+placed AS (SELECT doc_id, p, k, first_value(struct_pack(d := doc_id, p := p)) OVER (PARTITION BY k, h ORDER BY doc_id, p) AS f FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS p FROM placed WHERE f.d <> doc_id OR f.p <> p)
+SELECT d.doc_id, count(s.p) AS n_lines, count(g.p) AS n_deleted,
+  coalesce(string_agg(CASE WHEN g.p IS NOT NULL THEN CAST(s.line AS VARCHAR) END, ',' ORDER BY s.line), '') AS deleted_lines
+FROM d LEFT JOIN seq s USING (doc_id) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.p = s.p GROUP BY d.doc_id
+"""
+
+
+@query
+def op9_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.sample_by_weight(docs).drop("text")
+
+
 @query
 def op6_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents").select("doc_id", "text")
