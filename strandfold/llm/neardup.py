@@ -7,9 +7,9 @@ values equal and a uniform prior the similarity has the posterior Beta(m + 1, n
 as the posterior chance of reaching the threshold is below ``miss``. What survives is decided on the full sets.
 
 No bucket is expanded into pairs. Each bucket first meets only its smallest member; what that links is merged, and only
-buckets that still hold several components are looked at again, a block of members against a block at a time, first
-for one link per member and foreign component, then for all that are left. So no link between components is lost, and
-a bucket whose members are all alike costs one pair per member.
+buckets that still hold several components are looked at again, a block of members against a block at a time, inside a
+task that has the full sets and gives only links which connect something new. So no link between components is lost,
+a pair is looked at in one bucket only, and a bucket whose members are all alike costs one pair per member.
 
 Shingles are compared by 64-bit hashes (see ``words``): two different shingles of a pair of documents coincide with a
 chance of about n^2 / 2^64. A link at the threshold is missed by banding with a chance of (1 - 0.85^6)^30 < 1e-6.
@@ -51,7 +51,7 @@ class Settings:
     batch: int = 32
     batches: int = 3
     miss: float = 1e-6
-    block: int = 1024
+    block: int = 256
     seed: int = 17
 
 
@@ -159,29 +159,42 @@ def prune(pairs: DataFrame, signatures: DataFrame, settings: Settings) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, PAIR)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, doc: str, text: str, unique: bool) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; only texts of documents in ``pairs`` are read again."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("members", T.BinaryType())])
+SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("members", T.BinaryType())])
 
-    def sets(batches):
+
+def full_sets(ids: DataFrame, docs: DataFrame, doc: str, text: str, unique: bool) -> DataFrame:
+    """``id, members`` for some ids, stored; an id with several texts has several rows."""
+
+    def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = shingle_sets(split_words(batch.column("text"), NOT_SPACE, lower=True))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.astype(SET).tobytes() for s in found], pa.binary())], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.astype(SET).tobytes() for s in found], pa.binary())], names=SETS.names)
+
+    source = docs.select(F.col(doc).cast("bigint").alias("id"), F.col(text).alias("text")).join(broadcast_if_small(ids), "id", "left_semi")
+    found = source.mapInArrow(run, SETS)
+    return materialise(found if unique else found.distinct(), "sets")
+
+
+def alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = sorted((len(one), len(two)))
+    if not small or 100 * small < percent * large:
+        return False
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, doc: str, text: str, unique: bool) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; only texts of documents in ``pairs`` are read again."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids")
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), dtype=SET), np.frombuffer(y.as_buffer(), dtype=SET)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * common >= settings.percent * (len(one) + len(two) - common))
+            keep = [alike(np.frombuffer(x.as_buffer(), dtype=SET), np.frombuffer(y.as_buffer(), dtype=SET), settings.percent) for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    source = docs.select(F.col(doc).cast("bigint").alias("id"), F.col(text).alias("text")).join(broadcast_if_small(ids), "id", "left_semi")
-    found = source.mapInArrow(sets, schema)
-    stored = materialise(found if unique else found.distinct(), "pair_sets")
+    stored = full_sets(ids, docs, doc, text, unique)
     one, two = stored.select(F.col("id").alias("a"), F.col("members").alias("ma")), stored.select(F.col("id").alias("b"), F.col("members").alias("mb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(compare, PAIR)
 
@@ -204,71 +217,89 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cells(contested: DataFrame, signatures: DataFrame, settings: Settings, best_only: bool) -> DataFrame:
-    """Surviving pairs of different components inside large buckets, compared block against block.
+def _links_between(ids, comps, band, bands, signatures, sets, left, right, same: bool, settings: Settings) -> list[tuple[int, int]]:
+    """Links that join the components of some members of one bucket, enough of them to connect what is connected.
 
-    ``contested``: key, id, component, n (members of the bucket).
+    A pair is looked at in the first band that it shares, so in one bucket only; most similar signatures come first, and
+    a pair that is connected by then is passed over.
     """
+    root = {c: c for c in set(comps[left].tolist()) | set(comps[right].tolist())}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    found, out = [], []
+    for n, i in enumerate(left.tolist()):
+        rest = right[n + 1 :] if same else right
+        rest = rest[comps[rest] != comps[i]]
+        if band:
+            rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
+        rest = rest[survives(np.broadcast_to(signatures[i], (len(rest), signatures.shape[1])), signatures[rest], settings)]
+        equal = (signatures[rest] == signatures[i]).sum(axis=1)
+        found += [(-e, i, j) for e, j in zip(equal.tolist(), rest.tolist(), strict=True)]
+    for _, i, j in sorted(found):
+        a, b = find(int(comps[i])), find(int(comps[j]))
+        if a != b and alike(sets[i], sets[j], settings.percent):
+            root[max(a, b)] = min(a, b)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def between_components(contested: DataFrame, reps: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between different components inside buckets, from full sets.
+
+    ``contested``: key, band, id, component, n (members of the bucket). A bucket of more than ``block`` members is cut
+    into blocks that meet two at a time; smaller buckets share a group of about that many rows. Only links come out.
+    """
+    groups = max(1, -(-contested.filter(F.col("n") <= settings.block).count() // settings.block))
     blocks = F.ceil(F.col("n") / settings.block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    placed = contested.select("key", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.join(signatures, "id").select(
-        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "signature"
+    placed = contested.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        F.when(F.col("n") > settings.block, F.col("key")).otherwise(F.pmod("key", F.lit(groups))).alias("cell"), (F.col("n") > settings.block).alias("large"),
+        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "band", "id", "component",
     )
+    full = placed.join(reps, "id").join(sets, "id")
 
     def run(cell: pa.Table) -> pa.Table:
-        ids, comps, own = (cell.column(c).to_numpy() for c in ("id", "component", "own"))
+        cell = cell.combine_chunks()
+        ids, comps, keys, band, own = (cell.column(c).to_numpy() for c in ("id", "component", "key", "band", "own"))
         low, high = cell.column("low")[0].as_py(), cell.column("high")[0].as_py()
-        sigs = _matrix(cell.column("signature").combine_chunks(), "<u2")
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        a, b = [], []
-        for i in left.tolist():
-            rest = right[(comps[right] != comps[i]) & ((ids[right] > ids[i]) if low == high else True)]
-            rest = rest[survives(np.broadcast_to(sigs[i], (len(rest), sigs.shape[1])), sigs[rest], settings)]
-            if best_only and len(rest):
-                rest = rest[np.argmax((sigs[rest] == sigs[i]).sum(axis=1))][None]
-            a.append(np.minimum(ids[i], ids[rest]))
-            b.append(np.maximum(ids[i], ids[rest]))
-        return pa.table({"a": np.concatenate([*a, ids[:0]]), "b": np.concatenate([*b, ids[:0]])})
-
-    return placed.groupBy("key", "low", "high").applyInArrow(run, PAIR)
-
+        signatures, members = _matrix(cell.column("signature").chunk(0), "<u2"), [np.frombuffer(x.as_buffer(), dtype=SET) for x in cell.column("members")]
+        bands = cell.column("bands").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
+        order, out = np.lexsort((ids, keys)), []
+        for bucket in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+            left, right = bucket[own[bucket] == low], bucket[own[bucket] == high]
+            if len(left) and len(right):
+                out += _links_between(ids, comps, int(band[bucket[0]]), bands, signatures, members, left, right, low == high, settings)
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-#: Buckets of up to so many members that still hold several components are joined with themselves; larger ones go by blocks.
-SMALL_BUCKET = 32
+    return full.groupBy("cell", "large", "low", "high").applyInArrow(run, PAIR)
 
 
 def link_classes(reps: DataFrame, docs: DataFrame, settings: Settings, doc: str, text: str, unique: bool) -> DataFrame:
     """``id, component`` of the classes that have links. ``reps``: id, bands, signature (stored)."""
     signatures = reps.select("id", "signature")
-    keys = reps.select("id", F.explode("bands").alias("key"))
+    keys = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = materialise(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).filter("pivot != _last").drop("_last"), "buckets")
     members = materialise(keys.join(broadcast_if_small(buckets), "key").filter("id != pivot"), "members")
 
-    tried = materialise(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    alive = materialise(prune(tried, signatures, settings), "alive")
+    pairs = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    alive = materialise(prune(pairs, signatures, settings), "alive")
     links = materialise(confirm(alive, docs, settings, doc, text, unique), "links")
     labels = components(links)
-    for best_only in (True, False):
-        current = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_ = current.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("n"))
-        open_ = materialise(open_.filter("_low != _high").select("key", "n"), "open")
-        if not open_.limit(1).count():
-            break
-        contested = materialise(current.join(broadcast_if_small(open_), "key"), "contested")
-        small = contested.filter(F.col("n") <= SMALL_BUCKET)
-        other = small.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-        few = small.join(other, "key").filter("id < b AND component != other").select(F.col("id").alias("a"), "b").distinct()
-        few = prune(few.join(tried, ["a", "b"], "left_anti"), signatures, settings)
-        many = _cells(contested.filter(F.col("n") > SMALL_BUCKET), signatures, settings, best_only)
-        fresh = materialise(few.unionByName(many).distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-        if fresh.limit(1).count():
-            tried = tried.unionByName(fresh)
-            more = materialise(confirm(fresh, docs, settings, doc, text, unique), "links")
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                labels = components(links)
-    return labels
+    current = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    open_ = current.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("n"))
+    open_ = materialise(open_.filter("_low != _high").select("key", "n"), "open")
+    contested = materialise(current.join(broadcast_if_small(open_), "key"), "contested")
+    if not contested.limit(1).count():
+        return labels
+    ids = materialise(contested.select("id").distinct(), "contested_ids")
+    sets = full_sets(ids, docs, doc, text, unique)
+    more = materialise(between_components(contested, reps, sets, settings), "links")
+    return components(links.unionByName(more)) if more.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -156,7 +156,7 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 * CHUNK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` text bytes, so that long texts do not add up."""
     _, offsets = text_buffer(batch.column(text))
     at = 0
