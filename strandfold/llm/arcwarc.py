@@ -90,7 +90,8 @@ def members(content: bytes) -> Iterator[tuple[int, bytes]]:
         except zlib.error:
             yield at, bytes(view[at:])
             return
-        yield at, b"".join(parts)
+        # Of a member that breaks off, what could be unpacked is a record cut short; nothing at all is kept as it is.
+        yield at, b"".join(parts) or bytes(view[at:])
         at = i - len(unpacker.unused_data)
 
 

@@ -45,7 +45,7 @@ class Rules:
     min_class_chars: int = 200
     min_common_words: int = 100
     max_class_distance: float = 0.35
-    max_word_distance: float = 0.75
+    max_word_distance: float = 0.45
 
 
 def _class_table() -> np.ndarray:
