@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import canonical_sample_id
@@ -41,10 +41,28 @@ class WideMatrix:
         )
 
 
+def delimited_fields(line: Column, sep: str) -> Column:
+    """The fields of a line. A field in double quotes may hold the separator; a doubled quote inside is one quote."""
+    literal = "\\Q" + sep + "\\E"
+    # Every field is matched with a separator before it, so that empty ones are found too.
+    quoted = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(literal + r'("(?:[^"]++|"")*+"|(?:(?!' + literal + r").)*+)"), 1)
+    plain = F.transform(quoted, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.when(line.contains('"'), plain).otherwise(F.split(line, literal, -1))
+
+
+def first_field(line: Column, sep: str) -> Column:
+    """The first field, without splitting the line where nothing is quoted."""
+    return F.when(line.contains('"'), F.get(delimited_fields(line, sep), F.lit(0))).otherwise(F.substring_index(line, sep, 1))
+
+
 def read_wide(spark: SparkSession, path: str, sep: str = "\t") -> WideMatrix:
-    """One or more wide files, plain or compressed; every file brings its own header line."""
-    pattern = "\\Q" + sep + "\\E"
-    lines = spark.read.text(path).select(
+    """One or more wide files, plain or compressed; every file brings its own header line.
+
+    The files are scanned once. Lines are stored with the position that this scan gave them, so nothing later depends
+    on how files are split; and they are dealt out by size first, since a compressed file arrives in a single task.
+    A quoted field may not hold a line break.
+    """
+    scanned = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         # Block offset and reading order together follow the order of lines inside a file.
         F.struct(
@@ -52,17 +70,17 @@ def read_wide(spark: SparkSession, path: str, sep: str = "\t") -> WideMatrix:
         ).alias("row_pos"),
         "value",
     ).filter(F.length("value") > 0)
-    headers = lines.groupBy("file").agg(
-        F.min("row_pos").alias("header_pos"), F.min_by("value", "row_pos").alias("header")
-    )
+    lines = materialise(scanned.hint("rebalance"), "lines")
+    heads = lines.groupBy("file").agg(F.min("row_pos").alias("header_pos"))
+    headers = lines.join(heads, "file").filter(F.col("row_pos") == F.col("header_pos")).select("file", "header_pos", F.col("value").alias("header"))
     headers = materialise(headers.withColumn("header_id", F.sha2("header", 256)), "headers")
     columns = headers.groupBy("header_id").agg(F.min("header").alias("header")).select(
-        "header_id", F.posexplode(F.split("header", pattern, -1)).alias("column_pos", "column_id")
+        "header_id", F.posexplode(delimited_fields(F.col("header"), sep)).alias("column_pos", "column_id")
     )
     columns = materialise(columns.filter(F.col("column_pos") > 0), "columns")
     body = lines.join(headers.select("file", "header_id", "header_pos"), "file").filter(F.col("row_pos") > F.col("header_pos"))
-    rows = body.select("file", "header_id", "row_pos", F.split("value", pattern, -1).alias("fields")).withColumn(
-        "row_id", F.get("fields", F.lit(0))
+    rows = body.select(
+        "file", "header_id", "row_pos", first_field(F.col("value"), sep).alias("row_id"), delimited_fields(F.col("value"), sep).alias("fields")
     )
     return WideMatrix(rows, columns)
 
@@ -127,5 +145,5 @@ def read_scoring_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataF
     """Samples in rows, genes in columns: ``sample_id, gene, value``. A repeated sample id is an error."""
     matrix = read_wide(spark, path, sep)
     if duplicate_samples(matrix.rows.select("row_id"), "row_id").limit(1).count():
-        raise ValueError("Expression sample identifiers must be unique.")
+        raise ValueError("Sample ids that head the rows of an expression matrix have to be unique.")
     return matrix.cells().select(F.col("row_id").alias("sample_id"), F.col("column_id").alias("gene"), "value")
