@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import broadcast_if_small
-from .words import ALPHANUMERIC, LOWER, NOT_SPACE, Words, mix, slices, split_words
+from .words import ALPHANUMERIC, CHUNK, LOWER, NOT_SPACE, Words, mix, slices, split_words
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vuestro tus".split()
@@ -163,7 +163,7 @@ def feature_matrix(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) ->
     near = np.zeros(len(hit))
     near[at] = sums[high] > sums[low]
 
-    byte_sums = {name: np.concatenate([[0], np.cumsum(flags)]) for name, flags in (
+    byte_sums = {name: np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(flags, dtype=np.int32)]) for name, flags in (
         ("letter", IS_LETTER[data]), ("upper", IS_UPPER[data]), ("mark", IS_MARK[data]), ("!", data == 33), ("?", data == 63),
         ("digit", (data >= 48) & (data <= 57)), ("stand", IS_STAND_IN[data]),
     )}
@@ -198,7 +198,7 @@ def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, CHUNK):
                 matrix = feature_matrix(batch.column(text), known.value)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * len(FEATURES), pa.int32()), pa.array(matrix.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "features"])
