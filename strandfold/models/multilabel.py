@@ -18,7 +18,7 @@ from ..operators.metrics import evaluate
 from ..session import local_table, shared_dir
 from ..sources.export import read_metadata, write_bundle
 from .common import expression_of, feature_table, over_folds
-from .explain import Explanation, explain_target
+from .explain import Explanation, explain_target, labelled_rows
 from .network import Network, fit_network, resolve_settings
 
 THRESHOLD = 0.5
@@ -50,24 +50,44 @@ def long_scores(scored: DataFrame, targets: list[str]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A trained network with the names and fill values that belong to it."""
+
+    network: Network
+    features: list[str]
+    targets: list[str]
+    means: np.ndarray
+    metadata: dict
+
+
 class MultiLabelModel:
     """Fit on a cohort, then score, embed and explain any expression table; genes are matched by symbol."""
 
     def __init__(self, min_feature_overlap: float = 0.8, folds: int = 5, parallelism: int = 4, **settings):
         self.settings = resolve_settings(settings)
-        self.min_feature_overlap = min_feature_overlap
-        self.folds = folds
-        self.parallelism = parallelism
-        self.network: Network | None = None
-        self.features: list[str] | None = None
-        self.targets: list[str] | None = None
-        self.feature_means: np.ndarray | None = None
-        self.metadata: dict = {}
+        self.min_feature_overlap, self.folds, self.parallelism = min_feature_overlap, folds, parallelism
+        self.fitted: Fitted | None = None
+        #: Share of the model's features that the last scored data had.
+        self.feature_overlap: float | None = None
+
+    @property
+    def state(self) -> Fitted:
+        """What fitting found."""
+        if self.fitted is None:
+            raise ValueError("This model is not fitted; use fit or load first.")
+        return self.fitted
+
+    network = property(lambda self: self.state.network)
+    features = property(lambda self: self.state.features)
+    targets = property(lambda self: self.state.targets)
+    feature_means = property(lambda self: self.state.means)
+    metadata = property(lambda self: self.fitted.metadata if self.fitted else {})
 
     # -------------------------------------------------------------- fit
     def _training(self, data: Cohort) -> tuple[DataFrame, list[str], np.ndarray, list[str]]:
         if data.mutations is None:
-            raise ValueError("Mutation labels are required: pass a cohort with mutations.")
+            raise ValueError("Mutation labels are required to train.")
         shared_dir(data.samples.sparkSession)
         features, means = feature_table(data.expression)
         targets = sorted(r["target"] for r in data.targets.collect())
@@ -76,31 +96,24 @@ class MultiLabelModel:
         y = dense_rows(with_index(labels, targets, "target"), data.samples.select("sample_id"), len(targets), 0.0, "labels")
         return x.join(y, "sample_id"), features, means, targets
 
+    def _described(self, rows: DataFrame, features: list[str], targets: list[str], **more) -> dict:
+        """Facts of a run, for its bundle."""
+        return {"model": self.settings, "n_targets": len(targets), "n_features": len(features), "n_samples": rows.count(), **more}
+
     def fit(self, data: Cohort) -> MultiLabelModel:
-        dense, self.features, self.feature_means, self.targets = self._training(data)
+        dense, features, means, targets = self._training(data)
         dense = dense.checkpoint()
-        self.network = fit_network(dense, self.settings)
-        cancers = [r["cancer"] for r in data.samples.select("cancer").distinct().collect() if r["cancer"] is not None]
-        self.metadata = {
-            "n_samples": dense.count(),
-            "n_features": len(self.features),
-            "n_targets": len(self.targets),
-            "model": self.settings,
-            "cancers": sorted(cancers),
-        }
+        named = data.samples.filter(F.col("cancer").isNotNull()).agg(F.sort_array(F.collect_set("cancer")).alias("c")).head()["c"]
+        network = fit_network(dense, self.settings)
+        self.fitted = Fitted(network, features, targets, means, self._described(dense, features, targets, cancers=named))
         return self
 
-    def _check_fitted(self) -> None:
-        if self.network is None:
-            raise ValueError("Model is not fitted. Call fit(cohort) or MultiLabelModel.load(spark, path).")
-
     # ---------------------------------------------------------- predict
     def align(self, data: Cohort | DataFrame, min_feature_overlap: float | None = None) -> DataFrame:
         """Dense rows in model order."""
-        self._check_fitted()
-        expression, samples = expression_of(data)
-        threshold = self.min_feature_overlap if min_feature_overlap is None else min_feature_overlap
-        dense, _ = align_features(expression, samples.select("sample_id"), self.features, self.feature_means, threshold)
+        known, (expression, samples) = self.state, expression_of(data)
+        least = self.min_feature_overlap if min_feature_overlap is None else min_feature_overlap
+        dense, self.feature_overlap = align_features(expression, samples.select("sample_id"), known.features, known.means, least)
         return dense
 
     def predict(self, data: Cohort | DataFrame, min_feature_overlap: float | None = None) -> DataFrame:
@@ -110,7 +123,6 @@ class MultiLabelModel:
 
     def score_dense(self, dense: DataFrame) -> DataFrame:
         """Scores of rows that are already in model order; also for streaming frames."""
-        self._check_fitted()
         return long_scores(self.network.predict(dense), self.targets)
 
     def embed(self, data: Cohort | DataFrame, min_feature_overlap: float | None = None) -> DataFrame:
@@ -120,7 +132,6 @@ class MultiLabelModel:
 
     def head_weights(self, spark: SparkSession) -> DataFrame:
         """``target, weights``."""
-        self._check_fitted()
         weights = pa.array([w.tolist() for w in self.network.head_weights()], pa.list_(pa.float32()))
         return local_table(spark, target=pa.array(self.targets, pa.string()), weights=weights)
 
@@ -128,18 +139,13 @@ class MultiLabelModel:
     def explain(
         self, data: Cohort, target: str, method: str = "gradient_boosting", min_feature_overlap: float = 1.0, **options
     ) -> Explanation:
-        self._check_fitted()
         if target not in self.targets:
-            raise ValueError(f"Target {target!r} is not in this model's targets.")
+            raise ValueError(f"{target!r} is not in this model: it has {len(self.targets)} other targets.")
         if data.mutations is None:
-            raise ValueError("Mutation labels are required: pass a cohort with mutations.")
-        labels = data.mutations.filter(F.col("target") == target).groupBy("sample_id").agg(F.max("label").alias("label"))
-        dense = self.align(data, min_feature_overlap).join(labels, "sample_id", "left")
-        dense = dense.withColumn("label", F.coalesce("label", F.lit(0))).checkpoint()
-        return explain_target(
-            dense, self.features, target, method, self.network, self.targets.index(target),
-            seed=self.settings["random_state"], **options,
-        )
+            raise ValueError("Mutation labels are required to explain a target.")
+        dense = labelled_rows(data, self.align(data, min_feature_overlap), target)
+        options.setdefault("seed", self.settings["random_state"])
+        return explain_target(dense, self.features, target, method, self.network, self.targets.index(target), **options)
 
     # --------------------------------------------------------- evaluate
     def cross_validate(self, data: Cohort) -> MutationValidation:
@@ -163,22 +169,15 @@ class MultiLabelModel:
             .join(folds.select("sample_id", "fold"), "sample_id")
             .checkpoint()
         )
-        metadata = {
-            "n_samples": table.count(),
-            "n_features": len(features),
-            "n_targets": len(targets),
-            "folds": self.folds,
-            "split_method": method,
-            "classification_threshold": THRESHOLD,
-            "score_note": "Scores of the weighted loss rank samples; they are not calibrated probabilities.",
-            "model": self.settings,
-        }
+        metadata = self._described(
+            table, features, targets, folds=self.folds, split_method=method, classification_threshold=THRESHOLD,
+            score_note="The weighted loss makes scores good for ranking, not probabilities.",
+        )
         return MutationValidation(scores, folds, metadata)
 
     # ------------------------------------------------------ persistence
     def save(self, spark: SparkSession, path: str) -> str:
         """A directory of Parquet tables and one metadata row."""
-        self._check_fitted()
         net = self.network
         names, shapes = zip(*net.shapes)
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
@@ -208,20 +207,16 @@ class MultiLabelModel:
     def load(cls, spark: SparkSession, path: str) -> MultiLabelModel:
         metadata = read_metadata(spark, path)
         model = cls(metadata["min_feature_overlap"], metadata["folds"], **metadata["settings"])
-        features = spark.read.parquet(f"{path}/features").orderBy("idx").toPandas()
-        model.features = features["gene"].tolist()
-        model.feature_means = features["fill"].to_numpy()
-        model.targets = [r["target"] for r in spark.read.parquet(f"{path}/targets").orderBy("idx").collect()]
+        genes = spark.read.parquet(f"{path}/features").orderBy("idx").toPandas()
+        targets = [r["target"] for r in spark.read.parquet(f"{path}/targets").orderBy("idx").collect()]
         layers = spark.read.parquet(f"{path}/layers").toArrow().to_pydict()
-        stored = {n: np.array(v, dtype="float32") for n, v in zip(layers["name"], layers["values"])}
-        network = Network(
-            len(model.features), len(model.targets), model.settings, np.zeros(0, "float32"),
-            features["mean"].to_numpy(), features["scale"].to_numpy(),
-        )
-        network.parameters = np.concatenate([stored[name] for name, _ in network.shapes])
+        values = dict(zip(layers["name"], layers["values"], strict=True))
+        network = Network(len(genes), len(targets), model.settings, np.zeros(0, "float32"), genes["mean"].to_numpy(), genes["scale"].to_numpy())
+        network.parameters = np.concatenate([np.array(values[name], dtype="float32") for name, _ in network.shapes])
         network.history = [r.asDict() for r in spark.read.parquet(f"{path}/history").orderBy("epoch").collect()]
-        model.network, model.metadata = network, metadata
+        model.fitted = Fitted(network, genes["gene"].tolist(), targets, genes["fill"].to_numpy(), metadata)
         return model
 
     def __repr__(self) -> str:
-        return f"MultiLabelModel({'fitted' if self.network else 'unfitted'}, targets={len(self.targets or [])})"
+        known = f"{len(self.features)} features, {len(self.targets)} targets" if self.fitted else "nothing yet"
+        return f"<MultiLabelModel of {known}>"

@@ -1,14 +1,14 @@
 """Shared-encoder multi-label network, trained data-parallel.
 
-Every epoch, each partition runs minibatch Adam over its own rows from the same starting state; the
-resulting states are averaged, weighted by rows. With one partition that is ordinary minibatch training.
-The numpy code is only the arithmetic of one minibatch.
+Every epoch, each of ``replicas`` partitions runs minibatch Adam over its own rows from the same starting state; the
+resulting states are averaged, weighted by rows. Rows come in the order of a hash of their id and the epoch, and a
+minibatch may span transport batches, so training does not depend on how rows travel. The numpy code is only the
+arithmetic of one minibatch.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,38 @@ DEFAULTS = {
 }
 NORM_EPS = 1e-5
 STATE_CHUNK = 1 << 18
-ROWS_PER_REPLICA = 4096
-MAX_REPLICAS = 256
+#: Partitions that train side by side, at every size; a setting, to be raised with the cluster.
+REPLICAS = 4
+
+
+class Watch:
+    """Held-out losses: which state to keep, when to halve the rate, when to stop.
+
+    A state is kept if it betters the lowest loss by an absolute margin. The rate follows a relative margin of its
+    own, and is halved once a third of the patience (one epoch at least) has passed without it.
+    """
+
+    KEEP_MARGIN, RATE_MARGIN = 1e-5, 1e-4
+
+    def __init__(self, rate: float, patience: int):
+        self.rate, self.patience = rate, patience
+        self.kept: np.ndarray | None = None
+        self._lowest, self._since_kept = np.inf, 0
+        self._reference, self._since_better = np.inf, 0
+
+    @property
+    def exhausted(self) -> bool:
+        return self._since_kept >= self.patience
+
+    def see(self, loss: float, state: np.ndarray) -> None:
+        self._since_kept += 1
+        if loss < self._lowest - self.KEEP_MARGIN:
+            self.kept, self._lowest, self._since_kept = state.copy(), loss, 0
+        self._since_better += 1
+        if loss < self._reference * (1 - self.RATE_MARGIN):
+            self._reference, self._since_better = loss, 0
+        elif self._since_better > max(1, self.patience // 3):
+            self.rate, self._since_better = self.rate / 2, 0
 
 
 def resolve_settings(overrides: dict | None = None) -> dict:
@@ -238,37 +268,48 @@ def _column_stats(dense: DataFrame) -> dict:
     std = np.sqrt(row["x"]["variance"].toArray() * max(n - 1, 0) / max(n, 1))
     positives = row["y"]["sum"].toArray()
     if not (np.isfinite(mean).all() and np.isfinite(std).all() and np.isfinite(positives).all()):
-        raise ValueError("Input contains missing or infinite values.")
+        raise ValueError("Inputs and labels must not have missing or infinite values.")
     return {"n": n, "mean": mean, "scale": np.where(std > 0, std, 1.0), "positives": positives}
 
 
-def _run_epoch(data: DataFrame, replicas: int, state: np.ndarray, steps: int, epoch: int, network: Network, pos_weight, lr: float):
+def _run_epoch(data: DataFrame, state: np.ndarray, steps: int, epoch: int, network: Network, pos_weight, lr: float):
     """One pass of every replica over its partition; returns the averaged state, steps taken, mean loss."""
     settings, shapes, depth = network.settings, network.shapes, network.depth
     spark = data.sparkSession
     shared = spark.sparkContext.broadcast((state, pos_weight, network.mean, network.scale))
 
+    size = settings["batch_size"]
+
+    def minibatches(batches):
+        """Inputs and labels, ``batch_size`` rows at a time; what is left of a transport batch goes before the next."""
+        x, y = None, None
+        for batch in batches:
+            if len(batch):
+                more = np.stack(batch["features"].to_list()), np.stack(batch["labels"].to_list())
+                x, y = more if x is None else (np.concatenate([x, more[0]]), np.concatenate([y, more[1]]))
+                whole = len(x) - len(x) % size
+                for at in range(0, whole, size):
+                    yield x[at : at + size], y[at : at + size].astype("float32")
+                x, y = x[whole:], y[whole:]
+        if x is not None and len(x):
+            yield x, y.astype("float32")
+
     def train(batches):
         start, weight, mean, scale = shared.value
         local = start.copy()
         layers = unpack(local[0], shapes)
         rng = np.random.default_rng([settings["random_state"], epoch, TaskContext.get().partitionId()])
         step, total, rows = steps, 0.0, 0
-        for batch in batches:
-            x_all = ((np.stack(batch["features"].to_list()) - mean) / scale).astype("float32") if len(batch) else []
-            y_all = np.stack(batch["labels"].to_list()).astype("float32") if len(batch) else []
-            order = rng.permutation(len(x_all))
-            for at in range(0, len(order), settings["batch_size"]):
-                chosen = order[at : at + settings["batch_size"]]
-                x, y = x_all[chosen], y_all[chosen]
-                logits, hidden, kept = forward(layers, x, depth, settings["dropout_rate"], rng)
-                loss, d_logits = weighted_bce(logits, y, weight)
-                grads, _ = backward(layers, hidden, kept, d_logits)
-                step += 1
-                flat = np.concatenate([grads[name].ravel() for name, _ in shapes]).astype("float32")
-                adam_step(local, flat, step, lr, settings["weight_decay"], settings["gradient_clip"])
-                total += loss * len(chosen)
-                rows += len(chosen)
+        for raw, y in minibatches(batches):
+            x = ((raw - mean) / scale).astype("float32")
+            logits, hidden, kept = forward(layers, x, depth, settings["dropout_rate"], rng)
+            loss, d_logits = weighted_bce(logits, y, weight)
+            grads, _ = backward(layers, hidden, kept, d_logits)
+            step += 1
+            flat = np.concatenate([grads[name].ravel() for name, _ in shapes]).astype("float32")
+            adam_step(local, flat, step, lr, settings["weight_decay"], settings["gradient_clip"])
+            total += loss * len(x)
+            rows += len(x)
         if rows:
             flat = local.ravel()
             for chunk, at in enumerate(range(0, flat.size, STATE_CHUNK)):
@@ -285,10 +326,9 @@ def _run_epoch(data: DataFrame, replicas: int, state: np.ndarray, steps: int, ep
             {"chunk": [key[0]], "rows": [parts["rows"].sum()], "loss": [parts["loss"].sum()], "steps": [parts["steps"].max()], "part": [mean.tobytes()]}
         )
 
-    trained = data.mapInPandas(train, schema)
-    if replicas > 1:
-        # A group is one chunk of the state from each replica: at most MAX_REPLICAS chunks of 1 MB.
-        trained = trained.groupBy("chunk").applyInPandas(average, schema)
+    ordered = data.sortWithinPartitions(F.xxhash64("key", F.lit(epoch)), "key").select("features", "labels")
+    # A group is one chunk of the state (1 MB) from each replica.
+    trained = ordered.mapInPandas(train, schema).groupBy("chunk").applyInPandas(average, schema)
     rows = sorted(trained.collect(), key=lambda r: r["chunk"])
     flat = np.concatenate([np.frombuffer(r["part"], dtype="float32") for r in rows])
     shared.unpersist()
@@ -326,7 +366,7 @@ def fit_network(dense: DataFrame, overrides: dict | None = None, validate: bool
         stats["mean"], stats["scale"] = np.zeros(inputs), np.ones(inputs)
     network = Network(inputs, outputs, settings, np.zeros(0, "float32"), stats["mean"], stats["scale"])
 
-    replicas = settings.get("replicas") or max(1, min(ceil(n / ROWS_PER_REPLICA), MAX_REPLICAS))
+    replicas = settings.get("replicas") or REPLICAS
     training, held_out = dense.select("sample_id", "features", "labels"), None
     if validate:
         ranked = seeded_ordinals(training, "sample_id", settings["random_state"])
@@ -335,8 +375,8 @@ def fit_network(dense: DataFrame, overrides: dict | None = None, validate: bool
         held_out = ranked.filter("_held_out").select("features", "labels")
         training = ranked.filter("not _held_out").drop("_held_out")
     # A checkpoint keeps the partitions as they are, so replicas see the same rows in every epoch and retry.
-    training = training.repartition(replicas, "sample_id").sortWithinPartitions(F.md5("sample_id"))
-    training = training.select("features", "labels").checkpoint()
+    training = training.repartition(replicas, "sample_id")
+    training = training.select(F.xxhash64("sample_id").alias("key"), "features", "labels").checkpoint()
 
     pos_weight = np.ones(outputs)
     if settings["use_pos_weight"]:
@@ -349,25 +389,16 @@ def fit_network(dense: DataFrame, overrides: dict | None = None, validate: bool
 
     state = np.zeros((3, sum(int(np.prod(s)) for _, s in network.shapes)), dtype="float32")
     state[0] = initial_parameters(network.shapes, settings["random_state"])
-    lr, steps = settings["learning_rate"], 0
-    best, best_loss, stalled = state[0], np.inf, 0
-    plateau_best, plateau = np.inf, 0
+    steps, watch = 0, Watch(settings["learning_rate"], settings["patience"])
     for epoch in range(1, settings["epochs"] + 1):
-        state, steps, train_loss = _run_epoch(training, replicas, state, steps, epoch, network, pos_weight, lr)
-        row = {"epoch": epoch, "train_loss": train_loss}
-        if validate:
-            loss = _loss(held_out, state[0], network, pos_weight)
-            plateau = 0 if loss < plateau_best * (1 - 1e-4) else plateau + 1
-            plateau_best = min(plateau_best, loss) if plateau == 0 else plateau_best
-            if plateau > max(1, settings["patience"] // 3):
-                lr, plateau = lr * 0.5, 0
-            row.update(validation_loss=loss, learning_rate=lr)
-            if loss + 1e-5 < best_loss:
-                best, best_loss, stalled = state[0].copy(), loss, 0
-            else:
-                stalled += 1
-        network.history.append(row)
-        if validate and stalled >= settings["patience"]:
+        state, steps, train_loss = _run_epoch(training, state, steps, epoch, network, pos_weight, watch.rate)
+        entry = {"epoch": epoch, "train_loss": train_loss}
+        if held_out is not None:
+            entry["validation_loss"] = _loss(held_out, state[0], network, pos_weight)
+            watch.see(entry["validation_loss"], state[0])
+            entry["learning_rate"] = watch.rate
+        network.history.append(entry)
+        if watch.exhausted:
             break
-    network.parameters = best if validate and np.isfinite(best_loss) else state[0]
+    network.parameters = state[0] if watch.kept is None else watch.kept
     return network

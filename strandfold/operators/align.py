@@ -37,8 +37,8 @@ def check_overlap(expression: DataFrame, features: list[str], min_overlap: float
     overlap = feature_overlap(expression, features)
     if overlap < min_overlap:
         raise ValueError(
-            f"Expression feature overlap is {overlap:.1%}; at least {min_overlap:.1%} is required. "
-            "Use the quantity, transform and gene symbols of the training data."
+            f"Only {overlap:.1%} of the model's features are in the data (feature overlap), {min_overlap:.1%} are needed; "
+            "check quantity, transform and gene symbols."
         )
     return overlap
 

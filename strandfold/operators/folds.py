@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import seeded_key, seeded_ordinals
+from .ordered import seeded_ordinals
 
 
 def plain_folds(samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -50,14 +50,18 @@ def assign_folds(samples: DataFrame, k: int = 5, seed: int = 42) -> tuple[DataFr
         F.min(F.when(F.col("cancer").isNotNull(), F.col("n"))).alias("smallest"),
     ).first()
     if (shape["n"] or 0) < k:
-        raise ValueError(f"Cannot run {k} folds with only {shape['n'] or 0} samples.")
+        raise ValueError(f"{shape['n'] or 0} samples are too few for {k} folds.")
     if shape["cohorts"] > 1 and shape["smallest"] >= k:
         return stratified_folds(samples, k, seed).select("sample_id", "fold", "cancer"), "stratified_by_cancer"
     return plain_folds(samples, k, seed).select("sample_id", "fold", "cancer"), "shuffled_kfold"
 
 
 def seeded_sample(samples: DataFrame, n: int | None, seed: int = 42, identifier: str = "sample_id") -> DataFrame:
-    """Exactly min(n, all) rows, the same ones for the same seed however the data is partitioned."""
+    """The min(n, all) rows that come first by a seeded key, the same ones however the data is partitioned.
+
+    Only identifiers, which are unique, are ranked; the rows themselves stay in their partitions.
+    """
     if not n:
         return samples
-    return samples.orderBy(seeded_key(F.col(identifier), seed), identifier).limit(n)
+    chosen = seeded_ordinals(samples.select(identifier), identifier, seed).filter(F.col("ordinal") <= n)
+    return samples.join(chosen.select(identifier), identifier, "left_semi")

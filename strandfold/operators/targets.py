@@ -23,14 +23,14 @@ def top_rows(df: DataFrame, metric: str, key: str, k: int | None) -> DataFrame:
 
 
 def select_targets(
-    mutations: DataFrame, samples: DataFrame, min_prevalence: float = 0.05, max_targets: int | None = 400
+    mutations: DataFrame, samples: DataFrame, min_prevalence: float = 0.05, max_targets: int | None = None
 ) -> DataFrame:
-    """Targets at or above the threshold, at most ``max_targets`` of them by prevalence then name."""
+    """Targets at or above the threshold; with ``max_targets`` only so many of them, by prevalence then name."""
     kept = prevalence(mutations, samples).filter(F.col("prevalence") >= min_prevalence)
     return top_rows(kept, "prevalence", "target", max_targets)
 
 
-def keep_selected(mutations: DataFrame, samples: DataFrame, min_prevalence: float = 0.05, max_targets: int | None = 400) -> DataFrame:
+def keep_selected(mutations: DataFrame, samples: DataFrame, min_prevalence: float = 0.05, max_targets: int | None = None) -> DataFrame:
     chosen = select_targets(mutations, samples, min_prevalence, max_targets)
     return mutations.join(chosen.select("target"), "target", "left_semi")
 

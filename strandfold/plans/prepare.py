@@ -34,7 +34,7 @@ DEFAULTS = {
     "protein_coding_targets": True,
     "collapse": "mean",
     "min_prevalence": 0.05,
-    "max_targets": 400,
+    "max_targets": None,
 }
 
 
@@ -59,7 +59,7 @@ def combine(parts: Mapping[str, tuple[DataFrame, DataFrame, DataFrame | None]],
     for cancer, (cells, calls, assayed) in parts.items():
         matched = match_samples(cells, calls if assayed is None else assayed)
         if matched.limit(1).count() == 0:
-            raise ValueError(f"No matched expression and mutation samples were found for {cancer}.")
+            raise ValueError(f"No matched samples: {cancer} has none in both its expression and its mutations.")
         samples.append(matched.withColumn("cancer", F.lit(cancer)))
         expression[cancer] = cells.join(matched, "sample_id", "left_semi")
         mutations[cancer] = calls.join(matched, "sample_id", "left_semi")
@@ -68,7 +68,7 @@ def combine(parts: Mapping[str, tuple[DataFrame, DataFrame, DataFrame | None]],
     labels = union_all_targets(mutations).drop("cancer")
     chosen = keep_selected(labels, everyone, settings["min_prevalence"], settings["max_targets"])
     if chosen.limit(1).count() == 0:
-        raise ValueError("No mutation targets passed the prevalence threshold.")
+        raise ValueError("Every target is below the wanted prevalence.")
     return Cohort(everyone, union_shared_genes(expression).drop("cancer"), chosen)
 
 
@@ -82,7 +82,7 @@ def combine_burden(parts: Mapping[str, tuple[DataFrame, DataFrame]]) -> Cohort:
         burden.append(counts.join(matched, "sample_id", "left_semi"))
     everyone = reduce(DataFrame.unionByName, samples)
     if everyone.limit(1).count() == 0:
-        raise ValueError("No matched expression and coding burden samples were found.")
+        raise ValueError("No matched samples: none has both expression and coding events.")
     require_unique_samples(everyone)
     return Cohort(everyone, union_shared_genes(expression).drop("cancer"), tmb=reduce(DataFrame.unionByName, burden))
 

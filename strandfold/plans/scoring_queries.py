@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models.burden import BurdenModel
+from ..models.explain import explain_cohort
 from ..models.multilabel import MultiLabelModel
+from ..models.trees import balanced_weights, leaf_paths, make_classifier, tree_shap, with_vector
 from ..operators import align as al
 from ..operators import cohort as co
 from ..operators import metrics as me
@@ -15,7 +21,7 @@ from ..operators.folds import plain_folds, seeded_sample, stratified_folds
 from ..operators.transfer import neighbour_mixing, principal_components, rank_normalise
 from ..session import materialise, scratch_path
 from ..streaming.burden import windowed_burden
-from ..streaming.run import drain, score_stream
+from ..streaming.run import drain, drain_updates, score_stream
 from .fixtures import CODING_EVENTS, Tables
 from .registry import query
 
@@ -329,8 +335,27 @@ def neighbour_mixing_query(t: Tables):
     return _round(neighbour_mixing(_points(t), 30), "mixing", "balanced")
 
 
-@query("neighbour_mixing_pca")
+@query(
+    "neighbour_mixing_pca",
+    # All components of standardised points: a rotation, which keeps every distance.
+    """, flat AS (SELECT vec_id AS id, label % 3 AS label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    stats AS (SELECT i, avg(x) AS m, stddev_samp(x) AS sd FROM flat GROUP BY i),
+    e AS (SELECT id, label, list((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END ORDER BY i) AS v FROM flat JOIN stats USING (i) GROUP BY id, label),
+    d AS (SELECT a.id, a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.id ORDER BY
+            round(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.v, b.v)]), 6), b.id) AS r
+        FROM e a JOIN e b ON a.id <> b.id),
+    s AS (SELECT id, avg(CASE WHEN la <> lb THEN 1e0 ELSE 0e0 END) AS m FROM d WHERE r <= 30 GROUP BY id)
+    SELECT round(avg(m), 6) AS mixing, count(*) AS n_points FROM s""",
+)
 def neighbour_mixing_pca(t: Tables):
+    points = _points(t)
+    width = points.select(F.max(F.size("features"))).head()[0]
+    mixed = neighbour_mixing(principal_components(points, width), 30, digits=6)
+    return _round(mixed.select("mixing", "n_points"), "mixing")
+
+
+@query("neighbour_mixing_pca_values")
+def neighbour_mixing_pca_values(t: Tables):
     return neighbour_mixing(principal_components(_points(t), 20), 30)
 
 
@@ -375,104 +400,242 @@ def shap_top(t: Tables):
 @query(
     "stream_tmb",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, sample_id, count(*) AS tmb FROM fx_events
-    WHERE effect IN ('click', 'error', 'purchase') AND date_trunc('day', ts) + INTERVAL 1 DAY <=
-        (SELECT max(ts) - INTERVAL 1 HOUR FROM fx_events WHERE effect IN ('click', 'error', 'purchase'))
-    GROUP BY 1, 2""",
+    WHERE effect IN ('click', 'error', 'purchase') GROUP BY 1, 2""",
     ("fx_events",),
 )
 def stream_tmb(t: Tables):
     schema = t.table("events").schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.directory)
+    raw = t.spark.readStream.schema(schema).parquet(f"{t.directory}/events.parque[t]")
     # The file's time has no zone and means UTC.
     instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))")
     events = raw.select(
         "event_id", instant.alias("ts"), t.sample("user_id").alias("raw_sample"), F.col("event_type").alias("variant_class")
     )
-    counted = drain(windowed_burden(events, CODING_EVENTS), "stream_tmb")
+    counted = drain_updates(windowed_burden(events, CODING_EVENTS), "stream_tmb", ["window_start", "sample_id"], "tmb")
     day = F.expr("cast(date_add(DATE '1970-01-01', cast(unix_seconds(window_start) div 86400 AS int)) AS string)")
     return counted.select(day.alias("day"), "sample_id", "tmb")
 
 
-# ------------------------------------------------------------------ models (no SQL form)
+# ------------------------------------------------------------------ models
+#
+# What a trained model says has no SQL form, but much about it has: which rows come out, folds and labels, that a stored
+# or streamed model scores like the one in memory, that attributions add up. These are compared with SQL; the numbers
+# themselves come from the queries named ..._values.
 
 _SMALL_TREES = {"n_estimators": 10, "max_depth": 3}
 _SMALL_NETWORK = {"hidden_layers": [32, 16], "epochs": 3, "batch_size": 32, "learning_rate": 0.005, "folds": 3}
 
+_VECTORS = """, v AS (SELECT 'V' || vec_id AS sample_id, 'C' || label % 3 AS cancer, label, embedding::DOUBLE[] AS x FROM embeddings),
+    b AS (SELECT *, greatest(round(40 * (1 + 2 * x[1] + x[2])), 0) AS tmb,
+        (row_number() OVER (ORDER BY cancer, md5(sample_id || ':42'), sample_id) - 1) % 3 + 1 AS fold FROM v),
+    g AS (SELECT DISTINCT 'T' || label AS target FROM v),
+    h AS (SELECT 'G' || lpad(i::VARCHAR, 3, '0') AS feature FROM (SELECT unnest(range((SELECT max(len(x)) FROM v))) AS i))"""
+_CLOSE = 1e-6
 
-@query("burden_cv")
-def burden_cv(t: Tables):
+
+def _finite(name: str):
+    return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) < float("inf"))
+
+
+def _all_finite(array: str):
+    return F.forall(array, lambda x: x.isNotNull() & ~F.isnan(x))
+
+
+@query("burden_cv_values")
+def burden_cv_values(t: Tables):
     return BurdenModel("gradient_boosting", folds=3, **_SMALL_TREES).cross_validate(t.vector_cohort()).predictions
 
 
-@query("burden_cv_summary")
-def burden_cv_summary(t: Tables):
+@query("burden_cv", _VECTORS + " SELECT sample_id, cancer, fold, round(log2(tmb + 1), 6) AS tmb_log2_true, true AS finite FROM b")
+def burden_cv(t: Tables):
+    finite = _finite("tmb_log2_pred") & _finite("tmb_pred") & (F.col("tmb_pred") >= 0)
+    return burden_cv_values(t).select("sample_id", "cancer", "fold", F.round("tmb_log2_true", 6).alias("tmb_log2_true"), finite.alias("finite"))
+
+
+@query("burden_cv_summary_values")
+def burden_cv_summary_values(t: Tables):
     return BurdenModel("random_forest", folds=3, n_estimators=10, max_depth=5).cross_validate(t.vector_cohort()).summary
 
 
-@query("burden_predict")
-def burden_predict(t: Tables):
+@query(
+    "burden_cv_summary",
+    _VECTORS + """ SELECT cancer, count(*) AS n, true AS consistent FROM b GROUP BY cancer
+    UNION ALL SELECT '__OVERALL__', count(*), true FROM b""",
+)
+def burden_cv_summary(t: Tables):
+    within = (F.col("mae") <= F.col("rmse")) & (F.col("mae") >= 0) & (F.abs("pearson") <= 1) & (F.abs("spearman") <= 1) & F.col("pearson_p").between(0, 1)
+    return burden_cv_summary_values(t).select("cancer", "n", within.alias("consistent"))
+
+
+@query("burden_predict_values")
+def burden_predict_values(t: Tables):
     data = t.vector_cohort()
     return BurdenModel("random_forest", n_estimators=10, max_depth=5).fit(data).predict(data)
 
 
+@query("burden_predict", _VECTORS + " SELECT sample_id, true AS consistent FROM v")
+def burden_predict(t: Tables):
+    back = F.greatest(F.pow(F.lit(2.0), F.col("tmb_log2_pred")) - 1, F.lit(0.0))
+    return burden_predict_values(t).select("sample_id", (F.abs(back - F.col("tmb_pred")) < _CLOSE).alias("consistent"))
+
+
 def _trained(t: Tables) -> MultiLabelModel:
     return MultiLabelModel(**_SMALL_NETWORK).fit(t.vector_cohort())
 
 
-@query("tree_shap_summary")
+@query("tree_shap_summary_values")
+def tree_shap_summary_values(t: Tables):
+    return explain_cohort(t.vector_cohort(), "T0", "gradient_boosting", params=_SMALL_TREES).summary
+
+
+def _adds_up(t: Tables, kind: str, params: dict):
+    """Per sample, whether output less attributions is the same base value as for all."""
+    rows = t.vectors().select("sample_id", "features", (F.col("label") == 0).cast("int").alias("label"))
+    rows = materialise(with_vector(balanced_weights(rows)), "labelled")
+    model = make_classifier(kind, {"random_state": 42, **params}).fit(rows)
+    given = "rawPrediction" if kind == "gradient_boosting" else "probability"
+    output = model.transform(rows).select("sample_id", vector_to_array(given)[1].alias("output"))
+    total = F.aggregate("shap", F.lit(0.0), lambda a, x: a + x)
+    base = materialise(tree_shap(rows, leaf_paths(t.spark, model)).join(output, "sample_id").select("sample_id", (F.col("output") - total).alias("base")), "bases")
+    edges = base.agg(F.min("base").alias("low"), F.max("base").alias("high")).head()
+    return base.select("sample_id", (F.lit(edges["high"] - edges["low"]) < _CLOSE).alias("adds_up"))
+
+
+@query("tree_shap_summary", _VECTORS + " SELECT sample_id, true AS adds_up FROM v")
 def tree_shap_summary(t: Tables):
-    return _trained(t).explain(t.vector_cohort(), "T0", "gradient_boosting", params=_SMALL_TREES).summary
+    return _adds_up(t, "gradient_boosting", _SMALL_TREES)
 
 
-@query("tree_shap_top")
+@query("tree_shap_forest", _VECTORS + " SELECT sample_id, true AS adds_up FROM v")
+def tree_shap_forest(t: Tables):
+    return _adds_up(t, "random_forest", {"n_estimators": 10, "max_depth": 4})
+
+
+@query("tree_shap_top_values")
+def tree_shap_top_values(t: Tables):
+    return explain_cohort(t.vector_cohort(), "T0", "random_forest", params={"n_estimators": 10, "max_depth": 4}).sample_values
+
+
+@query("tree_shap_top", _VECTORS + " SELECT sample_id, least(20, (SELECT count(*) FROM h)) AS n_features, true AS finite FROM v")
 def tree_shap_top(t: Tables):
-    return _trained(t).explain(t.vector_cohort(), "T0", "random_forest", params={"n_estimators": 10, "max_depth": 4}).sample_values
+    values = tree_shap_top_values(t)
+    return values.groupBy("sample_id").agg(F.countDistinct("feature").alias("n_features"), F.bool_and(_finite("shap_value")).alias("finite"))
 
 
-@query("network_cv")
-def network_cv(t: Tables):
+@query("network_cv_values")
+def network_cv_values(t: Tables):
     return MultiLabelModel(**_SMALL_NETWORK).cross_validate(t.vector_cohort()).metrics
 
 
-@query("network_predict")
-def network_predict(t: Tables):
+@query(
+    "network_cv",
+    _VECTORS + """ SELECT target, count(*) AS n_samples, sum(CASE WHEN 'T' || label = target THEN 1 ELSE 0 END)::BIGINT AS n_positive,
+    round(avg(CASE WHEN 'T' || label = target THEN 1e0 ELSE 0e0 END), 6) AS prevalence FROM v, g GROUP BY target""",
+)
+def network_cv(t: Tables):
+    rated = network_cv_values(t).select("target", F.col("n_samples").cast("bigint"), F.col("n_positive").cast("bigint"), "prevalence")
+    return _round(rated, "prevalence")
+
+
+@query("network_predict_values")
+def network_predict_values(t: Tables):
     return _trained(t).predict(t.vector_cohort())
 
 
-@query("embed")
-def embed(t: Tables):
+@query("network_predict", _VECTORS + " SELECT sample_id, target, true AS consistent FROM v, g")
+def network_predict(t: Tables):
+    right = F.col("probability").between(0, 1) & (F.col("prediction") == (F.col("probability") >= 0.5).cast("int"))
+    return network_predict_values(t).select("sample_id", "target", right.alias("consistent"))
+
+
+@query("embed_values")
+def embed_values(t: Tables):
     return _trained(t).embed(t.vector_cohort())
 
 
-@query("head_weights")
-def head_weights(t: Tables):
+@query("embed", _VECTORS + " SELECT sample_id, 16 AS width, true AS finite FROM v")
+def embed(t: Tables):
+    return embed_values(t).select("sample_id", F.size("embedding").alias("width"), _all_finite("embedding").alias("finite"))
+
+
+@query("head_weights_values")
+def head_weights_values(t: Tables):
     return _trained(t).head_weights(t.spark)
 
 
-@query("network_attribution")
-def network_attribution(t: Tables):
+@query("head_weights", _VECTORS + " SELECT target, 16 AS width, true AS finite FROM g")
+def head_weights(t: Tables):
+    return head_weights_values(t).select("target", F.size("weights").alias("width"), _all_finite("weights").alias("finite"))
+
+
+@query("network_attribution_values")
+def network_attribution_values(t: Tables):
     return _trained(t).explain(t.vector_cohort(), "T0", "neural", draws=20).summary
 
 
-@query("bundle_roundtrip")
-def bundle_roundtrip(t: Tables):
+@query("network_attribution", _VECTORS + " SELECT 'T0' AS target, 'neural' AS method, feature, true AS consistent FROM h")
+def network_attribution(t: Tables):
+    within = _finite("mean_shap") & (F.abs("mean_shap") <= F.col("mean_abs_shap") + _CLOSE)
+    return network_attribution_values(t).select("target", "method", "feature", within.alias("consistent"))
+
+
+def _same_scores(one, two):
+    """Per sample and target, whether two score tables agree."""
+    other = two.select("sample_id", "target", F.col("probability").alias("_other"))
+    joined = one.join(other, ["sample_id", "target"], "full")
+    return joined.select("sample_id", "target", F.coalesce(F.abs(F.col("probability") - F.col("_other")) < _CLOSE, F.lit(False)).alias("equal"))
+
+
+@query("bundle_roundtrip_values")
+def bundle_roundtrip_values(t: Tables):
     path = _trained(t).save(t.spark, scratch_path(t.spark, "bundle"))
     return MultiLabelModel.load(t.spark, path).predict(t.vector_cohort())
 
 
-@query("result_bundle")
-def result_bundle(t: Tables):
+@query("bundle_roundtrip", _VECTORS + " SELECT sample_id, target, true AS equal FROM v, g")
+def bundle_roundtrip(t: Tables):
+    model, data = _trained(t), t.vector_cohort()
+    loaded = MultiLabelModel.load(t.spark, model.save(t.spark, scratch_path(t.spark, "bundle")))
+    return _same_scores(model.predict(data), loaded.predict(data))
+
+
+def _result_bundle(t: Tables) -> str:
     path = scratch_path(t.spark, "burden_run")
     BurdenModel("gradient_boosting", folds=3, n_estimators=5, max_depth=2).cross_validate(t.vector_cohort()).write(path)
-    return t.spark.read.parquet(f"{path}/oof_predictions")
+    return path
 
 
-@query("stream_scores")
-def stream_scores(t: Tables):
-    model = _trained(t)
-    rows = t.spark.readStream.schema(t.table("embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(t.directory)
+@query("result_bundle_values")
+def result_bundle_values(t: Tables):
+    return t.spark.read.parquet(f"{_result_bundle(t)}/oof_predictions")
+
+
+@query(
+    "result_bundle",
+    _VECTORS + """ SELECT 'oof_predictions' AS name, count(*) AS n FROM v UNION ALL SELECT 'summary', count(DISTINCT cancer) + 1 FROM v
+    UNION ALL SELECT 'fold_metrics', count(DISTINCT fold) FROM b""",
+)
+def result_bundle(t: Tables):
+    path = _result_bundle(t)
+    parts = [t.spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in ("oof_predictions", "summary", "fold_metrics")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _streamed(t: Tables, model: MultiLabelModel):
+    rows = t.spark.readStream.schema(t.table("embeddings").schema).parquet(f"{t.directory}/embeddings.parque[t]")
     dense = rows.select(
         F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("sample_id"),
         F.col("embedding").cast("array<double>").alias("features"),
     )
     return drain(score_stream(model, dense), "stream_scores")
+
+
+@query("stream_scores_values")
+def stream_scores_values(t: Tables):
+    return _streamed(t, _trained(t))
+
+
+@query("stream_scores", _VECTORS + " SELECT sample_id, target, true AS equal FROM v, g")
+def stream_scores(t: Tables):
+    model = _trained(t)
+    return _same_scores(_streamed(t, model), model.predict(t.vector_cohort()))

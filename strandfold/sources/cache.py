@@ -7,7 +7,6 @@ import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.cohort import Cohort
 from .export import read_metadata
@@ -25,10 +24,10 @@ def prepared_path(directory: str, settings: dict) -> str:
 def write_prepared(cohort: Cohort, path: str, metadata: dict) -> None:
     """Expression is laid out by cohort so that later reads prune; a hot cohort is spread over many files."""
     spark = cohort.samples.sparkSession
-    spread = F.pmod(F.xxhash64("sample_id"), F.lit(32))
     cohort.samples.write.mode("overwrite").parquet(f"{path}/samples")
     located = cohort.expression.join(cohort.samples.select("sample_id", "cancer"), "sample_id")
-    located.repartition(F.col("cancer"), spread).write.mode("overwrite").partitionBy("cancer").parquet(
+    # Ranges follow the size of the data, so a cohort has as many files as it needs.
+    located.repartitionByRange("cancer", "sample_id").write.mode("overwrite").partitionBy("cancer").parquet(
         f"{path}/expression"
     )
     for name in ("mutations", "tmb"):

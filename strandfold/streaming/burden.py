@@ -17,8 +17,9 @@ def windowed_burden(
     """Coding events per window and canonical sample: ``window_start, sample_id, tmb``.
 
     ``events``: event_id, ts (timestamp), raw_sample, variant_class. An event that is delivered twice counts
-    once. In append mode a window is emitted when the watermark has passed its end; state is bounded by the
-    watermark, and counts combine before the shuffle.
+    once. Append mode emits a window when the watermark has passed its end; update mode emits every change, so a bounded
+    run (``drain_updates``) also has the windows that are still open. State is bounded by the watermark, and counts
+    combine before the shuffle.
     """
     coding_only = events.filter(F.col("variant_class").isin(*coding))
     once = coding_only.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
