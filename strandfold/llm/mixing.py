@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cohort import scalar
 from ..session import materialise
 from .common import broadcast_if_small, without
 
@@ -64,8 +65,7 @@ def token_cells(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> Data
 def tempered_targets(cells: DataFrame, dimension: str, power: float = 0.7) -> DataFrame:
     """``value, target``: shares in proportion to the tokens of each value to a power, which lifts small values."""
     sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("raw"))
-    whole = sums.agg(F.sum("raw").alias("whole"))
-    return sums.join(F.broadcast(whole)).select("value", F.when(F.col("whole") > 0, F.col("raw") / F.col("whole")).otherwise(0.0).alias("target"))
+    return sums.select("value", F.coalesce(F.try_divide(F.col("raw"), scalar(sums, F.sum("raw"))), F.lit(0.0)).alias("target"))
 
 
 def _scaled(cells: DataFrame, dimension: str) -> DataFrame:
@@ -81,13 +81,13 @@ def _scaled(cells: DataFrame, dimension: str) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with tokens plus ``weight``: shares of all tokens with the target marginals. ``targets``: value, target."""
     fitted = cells.filter(F.col("tokens") > 0)
-    total = fitted.agg(F.sum("tokens").alias("_total"))
-    fitted = fitted.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("_total")).drop("_total")
+    fitted = fitted.withColumn("weight", F.col("tokens") / scalar(fitted, F.sum("tokens")))
     for d, wanted in targets.items():
         present = fitted.select(F.col(d).alias("value")).distinct().join(wanted.select(F.coalesce("value", F.lit("")).alias("value"), "target"), "value", "left")
         present = present.withColumn("target", F.coalesce("target", F.lit(0.0)))
-        whole = present.agg(F.sum("target").alias("_whole"))
-        shares = present.join(F.broadcast(whole)).select(F.col("value").alias(d), F.when(F.col("_whole") > 0, F.col("target") / F.col("_whole")).otherwise(0.0).alias(f"_target_{d}"))
+        present = materialise(present, "targets")
+        share = F.coalesce(F.try_divide(F.col("target"), scalar(present, F.sum("target"))), F.lit(0.0))
+        shares = present.select(F.col("value").alias(d), share.alias(f"_target_{d}"))
         fitted = fitted.join(shares, d)
     fitted = materialise(fitted, "raked")
     for _ in range(rounds):
@@ -115,12 +115,11 @@ def sample_by_weight(
     targets = targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
     raked = rake(cells, targets)
     per_token = raked.withColumn("_rate", F.col("weight") / F.col("tokens"))
-    sums = per_token.agg(F.max("_rate").alias("_top"), F.sum("tokens").alias("_all"))
-    probability = F.col("_rate") / F.col("_top")
-    rated = per_token.join(F.broadcast(sums)).select(*DIMENSIONS, "tokens", probability.alias("_p"))
+    probability = F.coalesce(F.try_divide(F.col("_rate"), scalar(per_token, F.max("_rate"))), F.lit(0.0))
+    rated = per_token.select(*DIMENSIONS, "tokens", probability.alias("_p"))
     if keep_tokens is not None:
-        expected = rated.agg(F.sum(F.col("_p") * F.col("tokens")).alias("_expected"))
-        rated = rated.join(F.broadcast(expected)).withColumn("_p", F.col("_p") * F.least(F.lit(1.0), F.lit(float(keep_tokens)) / F.col("_expected")))
+        expected = scalar(rated, F.sum(F.col("_p") * F.col("tokens")))
+        rated = rated.withColumn("_p", F.col("_p") * F.least(F.lit(1.0), F.try_divide(F.lit(float(keep_tokens)), expected)))
     rated = materialise(rated.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "_p"), "probabilities")
     # The largest cell may hold a third of all documents: the small side is broadcast, or its skewed keys are split.
     same = [_key(d) == F.col(f"_{d}") for d in DIMENSIONS]
