@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from ..session import materialise
 
 ARCHIVE_BYTES = 4 << 20
+#: Revisits (some 150 bytes each) that are broadcast at most.
+BROADCAST_REVISITS = 200_000
 EPOCH = "19700101000000"
 #: Header fields after the URL in the two versions of the format.
 FIELDS = {1: ("ip", "date", "type", "length"), 2: ("ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")}
@@ -271,7 +273,10 @@ def revisits(index: DataFrame, least: int = 0) -> DataFrame:
 def convert_arc(archives: DataFrame, least: int = 0) -> DataFrame:
     """WARC archives for ARC archives (a stored table, for it is read twice)."""
     index = materialise(index_arc(archives), "arc_index")
-    planned = archives.select("archive", "content").join(revisits(index, least), "archive", "left")
+    known = materialise(revisits(index, least), "revisits")
+    # Few revisits go to the archives, so that payloads need not move; with many, both sides are shuffled by archive.
+    few = (known.agg(F.sum(F.size("revisits"))).head()[0] or 0) <= BROADCAST_REVISITS
+    planned = archives.select("archive", "content").join(F.broadcast(known) if few else known, "archive", "left")
 
     def run(batches):
         for batch in batches:
