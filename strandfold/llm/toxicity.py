@@ -191,15 +191,18 @@ def feature_matrix(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) ->
     ], axis=1)
 
 
-def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text: str) -> DataFrame:
-    """``docs`` plus the array ``features``. ``lexicon`` is broadcast; it has at most ``max_terms`` terms."""
+def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text: str, inside: str | None = None) -> DataFrame:
+    """``docs`` plus the array ``features``. ``lexicon`` is broadcast; it has at most ``max_terms`` terms.
+
+    ``inside`` names the struct column that ``text`` is a field of.
+    """
     names, known = docs.columns, docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = T.StructType([*docs.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, CHUNK):
-                matrix = feature_matrix(batch.column(text), known.value)
+            for batch in slices(whole, text, 4 * CHUNK, inside):
+                matrix = feature_matrix(batch.column(inside).field(text) if inside else batch.column(text), known.value)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * len(FEATURES), pa.int32()), pa.array(matrix.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "features"])
 
@@ -267,6 +270,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     model = fit(docs, labels, settings, doc, text)
     if model.trees is None:
         return docs.limit(0) if model.prior >= settings.threshold else docs
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"))
-    raw = _raw(model.trees, with_features(nested, model.lexicon, "text"))
+    # The columns of the input are out of the way of those that scoring adds.
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    raw = _raw(model.trees, with_features(nested, model.lexicon, text, "_doc"))
     return model.calibration.transform(raw).filter(F.col("score") < settings.threshold).select("_doc.*")

@@ -2,7 +2,7 @@
 
 A text column is one byte buffer, so cutting it into words is a table look-up per byte and hashing every word is a
 difference of two prefix sums. Separators are ASCII in every caller, hence bytes are enough: no UTF-8 sequence holds
-an ASCII byte. Work arrays cover about one megabyte at a time, however long a text is.
+an ASCII byte. Work arrays cover about a quarter of a megabyte at a time, however long a text is.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LONG_WORD = 64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -156,9 +156,12 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``most`` text bytes, so that long texts do not add up."""
-    _, offsets = text_buffer(batch.column(text))
+def slices(batch: pa.RecordBatch, text: str, most: int = 8 * CHUNK, inside: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most`` text bytes, so that long texts do not add up.
+
+    ``inside`` names the struct column that the text is a field of.
+    """
+    _, offsets = text_buffer(batch.column(inside).field(text) if inside else batch.column(text))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
