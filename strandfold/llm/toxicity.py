@@ -191,22 +191,20 @@ def feature_matrix(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) ->
     ], axis=1)
 
 
-def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text: str, inside: str | None = None) -> DataFrame:
+def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text: str) -> DataFrame:
     """``docs`` plus the array ``features``. ``lexicon`` is broadcast; it has at most ``max_terms`` terms.
 
-    ``inside`` names the struct column that ``text`` is a field of.
+    Only the text goes to Python and only the features come back; the other columns stay where they are.
     """
-    names, known = docs.columns, docs.sparkSession.sparkContext.broadcast(lexicon)
-    schema = T.StructType([*docs.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
+    known = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, text, 4 * CHUNK, inside):
-                matrix = feature_matrix(batch.column(inside).field(text) if inside else batch.column(text), known.value)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * len(FEATURES), pa.int32()), pa.array(matrix.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "features"])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def features(column: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([column], names=["text"])
+        matrix = np.concatenate([np.zeros((0, len(FEATURES))), *[feature_matrix(b.column("text"), known.value) for b in slices(whole, "text", 4 * CHUNK)]])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * len(FEATURES), pa.int32()), pa.array(matrix.reshape(-1)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("features", features(text))
 
 
 def remainder(doc: str = "doc_id") -> Column:
@@ -272,5 +270,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
         return docs.limit(0) if model.prior >= settings.threshold else docs
     # The columns of the input are out of the way of those that scoring adds.
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    raw = _raw(model.trees, with_features(nested, model.lexicon, text, "_doc"))
+    raw = _raw(model.trees, with_features(nested, model.lexicon, f"_doc.`{text}`"))
     return model.calibration.transform(raw).filter(F.col("score") < settings.threshold).select("_doc.*")
