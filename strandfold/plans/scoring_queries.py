@@ -18,7 +18,7 @@ from ..operators import metrics as me
 from ..operators import targets as ta
 from ..operators.attribution import attribution_summary, top_attributions
 from ..operators.folds import plain_folds, seeded_sample, stratified_folds
-from ..operators.transfer import neighbour_mixing, principal_components, rank_normalise
+from ..operators.transfer import cohort_mixing, neighbour_mixing, principal_components, rank_normalise
 from ..session import materialise, scratch_path
 from ..streaming.burden import windowed_burden
 from ..streaming.run import drain, drain_updates, score_stream
@@ -354,6 +354,28 @@ def neighbour_mixing_pca(t: Tables):
     return _round(mixed.select("mixing", "n_points"), "mixing")
 
 
+@query(
+    "cohort_mixing",
+    # Samples of two cohorts over the genes of both, with gaps at the gene's mean; no components, so distances are plain.
+    """, x AS (SELECT sample_id, gene, value, CASE WHEN cancer = 'BUILDING' THEN 0 ELSE 1 END AS label
+        FROM fx_expression JOIN fx_samples USING (sample_id) WHERE cancer IN ('BUILDING', 'MACHINERY') AND gene <= 'Brand#14'),
+    genes AS (SELECT gene, avg(value) AS mean FROM x GROUP BY gene HAVING count(DISTINCT label) = 2),
+    pts AS (SELECT DISTINCT x.label, x.sample_id FROM x JOIN genes USING (gene)),
+    e AS (SELECT p.label, p.sample_id, list(coalesce(x.value, genes.mean) ORDER BY gene) AS v
+        FROM pts p CROSS JOIN genes LEFT JOIN x USING (label, sample_id, gene) GROUP BY ALL),
+    d AS (SELECT a.sample_id AS s, a.label AS la, b.label AS lb,
+            round(list_sum([(y[1] - y[2]) * (y[1] - y[2]) for y in list_zip(a.v, b.v)]), 6) AS far FROM e a JOIN e b ON a.sample_id <> b.sample_id),
+    r AS (SELECT s, la, lb, rank() OVER (PARTITION BY s ORDER BY far) AS r, count(*) OVER (PARTITION BY s, far) AS ties FROM d)
+    SELECT count(DISTINCT s) AS n_points, round(avg(CASE WHEN la <> lb THEN 1e0 ELSE 0e0 END), 2) AS mixing FROM r WHERE r <= 5""",
+    ("fx_expression", "fx_samples"),
+)
+def cohort_mixing_query(t: Tables):
+    tagged = materialise(t.expression().join(t.samples(), "sample_id").filter(F.col("gene") <= "Brand#14"), "expression")
+    parts = {c: tagged.filter(F.col("cancer") == c).select("sample_id", "gene", "value") for c in ("BUILDING", "MACHINERY")}
+    mixed = cohort_mixing(parts, components=None, k=5)
+    return _round(mixed.select("n_points", "mixing"), "mixing", digits=2)
+
+
 @query("neighbour_mixing_pca_values")
 def neighbour_mixing_pca_values(t: Tables):
     return neighbour_mixing(principal_components(_points(t), 20), 30)

@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 
 from strandfold import BurdenModel, Cohort, MultiLabelModel
 from strandfold.models import network as net
+from strandfold.models.explain import explain_cohort
 from strandfold.models.trees import base_value, leaf_paths, make_classifier, make_regressor, shapley_values, with_vector
+from strandfold.operators.folds import seeded_sample
 
-FAST = {"epochs": 2, "batch_size": 16, "hidden_layers": [8], "folds": 3}
+FAST = {"hidden_layers": [8], "batch_size": 16, "epochs": 2, "folds": 3}
+SAMPLES, GENES = 48, 10
 
 
 @pytest.fixture(scope="module")
 def cohort(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(45, 12))
-    signal = x[:, 0] - 0.5 * x[:, 1]
-    labels = {"TP53": signal > np.median(signal), "KRAS": rng.random(45) < 0.4, "EGFR": rng.random(45) < 0.3}
-    cells = [(f"S{i}", f"G{j}", float(x[i, j])) for i in range(45) for j in range(12)]
-    calls = [(f"S{i}", t, int(y[i])) for t, y in labels.items() for i in range(45)]
-    burden = [(f"S{i}", int(b), float(np.log2(b + 1))) for i, b in enumerate(np.clip(30 + 12 * signal, 1, None).astype(int))]
-    return Cohort.from_tables(
-        spark.createDataFrame(cells, "sample_id string, gene string, value double").cache(),
-        spark.createDataFrame(calls, "sample_id string, target string, label int").cache(),
-        spark.createDataFrame(burden, "sample_id string, tmb bigint, tmb_log2 double").cache(),
+    """Two genes on a circle decide a target and the burden; two more targets follow other genes or nothing."""
+    rows = []
+    for i in range(SAMPLES):
+        angle = 2 * np.pi * ((i * 7) % SAMPLES) / SAMPLES
+        genes = {f"G{j}": float(np.sin(angle * (j + 1) + j)) if j > 1 else float([np.cos(angle), np.sin(angle)][j]) for j in range(GENES)}
+        rows.append((f"S{i}", genes, {"TP53": genes["G0"] > 0.1, "MYC": genes["G4"] > 0.5, "ATM": i % 3 == 0}, int(40 + 30 * genes["G0"])))
+    values = [(s, g, v) for s, genes, _, _ in rows for g, v in genes.items()]
+    calls = [(s, t, int(y)) for s, _, labels, _ in rows for t, y in labels.items()]
+    counts = [(s, n, float(np.log2(n + 1))) for s, _, _, n in rows]
+    frames = (
+        spark.createDataFrame(values, "sample_id string, gene string, value double"),
+        spark.createDataFrame(calls, "sample_id string, target string, label int"),
+        spark.createDataFrame(counts, "sample_id string, tmb bigint, tmb_log2 double"),
     )
+    return Cohort.from_tables(*[f.cache() for f in frames])
 
 
 # ------------------------------------------------------------------ network arithmetic
@@ -105,15 +111,15 @@ def test_missing_values_and_unknown_settings_are_errors(spark):
 
 
 def test_fit_predict_embed_and_round_trip(spark, cohort, tmp_path):
-    train = cohort.subset(samples=[f"S{i}" for i in range(35)])
+    train = cohort.subset(samples=[f"S{i}" for i in range(36)])
     model = MultiLabelModel(**FAST).fit(train)
     held_out = cohort.without(train.samples)
     scores = model.predict(held_out)
-    assert scores.count() == 30 and {r["target"] for r in scores.collect()} == {"TP53", "KRAS", "EGFR"}
-    assert model.predict(held_out.expression).count() == 30
+    assert scores.count() == 36 and {r["target"] for r in scores.collect()} == {"TP53", "MYC", "ATM"}
+    assert model.predict(held_out.expression).count() == 36 and model.feature_overlap == 1.0
     assert {len(r["embedding"]) for r in model.embed(held_out).collect()} == {8}
     weights = model.head_weights(spark).collect()
-    assert [r["target"] for r in weights] == ["EGFR", "KRAS", "TP53"] and len(weights[0]["weights"]) == 8
+    assert [r["target"] for r in weights] == ["ATM", "MYC", "TP53"] and len(weights[0]["weights"]) == 8
     path = model.save(spark, str(tmp_path / "model"))
     again = MultiLabelModel.load(spark, path)
     both = scores.join(again.predict(held_out).withColumnRenamed("probability", "p2"), ["sample_id", "target"])
@@ -138,23 +144,23 @@ def test_unfitted_and_disjoint(spark, cohort):
 
 def test_mutation_cross_validation(spark, cohort, tmp_path):
     result = MultiLabelModel(**FAST).cross_validate(cohort)
-    assert result.scores.count() == 135 and result.scores.select("sample_id", "target").distinct().count() == 135
-    assert {r["target"] for r in result.metrics.collect()} == {"TP53", "KRAS", "EGFR"}
+    assert result.scores.count() == 144 and result.scores.select("sample_id", "target").distinct().count() == 144
+    assert {r["target"] for r in result.metrics.collect()} == {"TP53", "MYC", "ATM"}
     assert {"auprc", "normalized_auprc", "roc_auc", "mcc"} <= set(result.metrics.columns)
-    assert result.metadata["split_method"] == "shuffled_kfold" and result.folds.count() == 45
+    assert result.metadata["split_method"] == "shuffled_kfold" and result.folds.count() == SAMPLES
     result.write(str(tmp_path / "cv"))
-    assert spark.read.parquet(str(tmp_path / "cv" / "oof_scores")).count() == 135
+    assert spark.read.parquet(str(tmp_path / "cv" / "oof_scores")).count() == 144
 
 
 @pytest.mark.parametrize("kind", ["random_forest", "gradient_boosting"])
 def test_burden_model(spark, cohort, kind):
     model = BurdenModel(kind, n_estimators=5, max_depth=3, folds=3).fit(cohort)
     rows = model.predict(cohort)
-    assert rows.columns == ["sample_id", "tmb_log2_pred", "tmb_pred"] and rows.count() == 45
+    assert rows.columns == ["sample_id", "tmb_log2_pred", "tmb_pred"] and rows.count() == SAMPLES
     result = model.cross_validate(cohort)
     summary = {r["cancer"]: r for r in result.summary.collect()}
     assert set(summary) == {"__OVERALL__", "cohort"} and summary["__OVERALL__"]["spearman"] > 0.2
-    assert result.predictions.select("sample_id").distinct().count() == 45
+    assert result.predictions.select("sample_id").distinct().count() == SAMPLES
     assert sorted(r["fold"] for r in result.fold_metrics.collect()) == [1, 2, 3]
     with pytest.raises(ValueError, match="feature overlap"):
         model.predict(cohort.expression.withColumn("gene", F.concat("gene", F.lit("_x"))))
@@ -165,7 +171,7 @@ def test_burden_model_errors_and_unlabelled_samples(spark, cohort):
         BurdenModel("not_a_model")
     some = Cohort(cohort.samples, cohort.expression, tmb=cohort.tmb.withColumn("tmb_log2", F.when(F.col("sample_id") != "S0", F.col("tmb_log2"))))
     result = BurdenModel("random_forest", n_estimators=2, max_depth=2, folds=3).cross_validate(some)
-    assert result.predictions.count() == 44
+    assert result.predictions.count() == SAMPLES - 1
 
 
 # ------------------------------------------------------------------ attribution
@@ -223,11 +229,11 @@ def test_explanations(spark, cohort, method, tmp_path):
     options = {"params": {"n_estimators": 8, "max_depth": 3}} if method != "neural" else {"draws": 30}
     result = model.explain(cohort, "TP53", method, max_samples=12, top_features=3, **options)
     summary = result.summary.orderBy("rank").collect()
-    assert len(summary) == 12 and summary[0]["feature"] in {"G0", "G1"}
+    assert len(summary) == GENES and summary[0]["feature"] in {"G0", "G1"}
     assert result.sample_values.count() == 36 and result.metadata["n_explained_samples"] == 12
     assert result.sample_values.filter(F.col("expression_value").isNull()).count() == 0
     result.write(str(tmp_path / method))
-    assert spark.read.parquet(str(tmp_path / method / "feature_summary")).count() == 12
+    assert spark.read.parquet(str(tmp_path / method / "feature_summary")).count() == GENES
 
 
 def test_one_class_target_is_an_error(spark, cohort):
@@ -249,3 +255,34 @@ def test_expected_gradients_add_up(spark):
     mean = np.mean([r["probabilities"][0] for r in model.predict(base).collect()])
     for key, total in got.items():
         assert total == pytest.approx(p[key] - mean, abs=0.05)
+
+
+def test_watch_keeps_halves_and_stops():
+    watch, states = net.Watch(0.8, 6), [np.full(1, i) for i in range(12)]
+    for state, loss in zip(states, [1.0, 0.5, 0.499999, 0.6, 0.6], strict=False):
+        watch.see(loss, state)
+    assert watch.kept[0] == 1 and watch.rate == 0.4 and not watch.exhausted
+    for state in states[5:8]:
+        watch.see(0.7, state)
+    assert watch.exhausted and watch.rate == 0.2 and watch.kept[0] == 1
+
+
+def test_training_does_not_depend_on_transport(spark):
+    dense, _ = planted(spark, 100)
+    settings = {"hidden_layers": [6], "epochs": 3, "batch_size": 16, "replicas": 3}
+    first = net.fit_network(dense, settings)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        second = net.fit_network(dense, settings)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert np.allclose(first.parameters, second.parameters, atol=1e-6)
+
+
+def test_trees_are_explained_without_a_network_and_in_many_tasks(spark, cohort):
+    result = explain_cohort(cohort, "TP53", "random_forest", params={"n_estimators": 4, "max_depth": 3})
+    assert result.metadata["n_explained_samples"] == SAMPLES and result.sample_values.select("sample_id").distinct().count() == SAMPLES
+    dense, _ = planted(spark)
+    part = seeded_sample(dense.repartition(8), 50, 1)
+    assert part.count() == 50 and part.rdd.getNumPartitions() > 1

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from strandfold.streaming.burden import windowed_burden
-from strandfold.streaming.run import drain
+from strandfold.streaming.run import drain, drain_updates
 
 SCHEMA = "event_id bigint, ts timestamp, raw_sample string, variant_class string"
 
@@ -20,3 +20,6 @@ def test_late_and_repeated_events(spark, tmp_path):
     counted = drain(windowed_burden(spark.readStream.schema(SCHEMA).parquet(path)), "counts")
     # The third day's window is still open, so append mode has not emitted it.
     assert [(r["sample_id"], r["tmb"]) for r in counted.collect()] == [("TCGA-AB-1-01A", 2)]
+    # In update mode the open windows are there too.
+    every = drain_updates(windowed_burden(spark.readStream.schema(SCHEMA).parquet(path)), "updates", ["window_start", "sample_id"], "tmb")
+    assert sorted((r["sample_id"], r["tmb"]) for r in every.collect()) == [("TCGA-AB-1-01A", 2), ("TCGA-AB-2-01A", 1)]
