@@ -5,9 +5,10 @@ shares of its common words, which are those with at least ``common_share`` of al
 the square root of the Jensen-Shannon divergence to base 2, from 0 to 1. A document is judged by a histogram only if it
 is long enough for it.
 
-The references are bounded by their definition: a language has at most 1 / common_share common words, and a language
-with less than ``language_share`` of all words is judged by the reference of the whole corpus, so there are at most
-1 / language_share of them. A word that is common in a language is common in at least one task's part of it, so only
+A language has at most 1 / common_share common words. It has a class histogram of its own from ``min_language_chars``
+characters and a word histogram from ``min_language_words`` words, however large the rest of the corpus is; by one that
+it does not have, its documents are not judged. All references are sent to every task, so languages should be thousands
+at most. A ``language_share`` above 0 leaves out languages with less than that share of all words. A word that is common in a language is common in at least one task's part of it, so only
 there is its text sent along; everywhere else its hash and count are enough.
 
 Defined cases: a null text has no words; a null language is a language of its own, named ''; a document too short for a
@@ -41,7 +42,9 @@ class Rules:
     min_words: int = 10
     repeat_percent: int = 20
     common_share: float = 0.002
-    language_share: float = 0.001
+    language_share: float = 0.0
+    min_language_chars: int = 2000
+    min_language_words: int = 1000
     min_class_chars: int = 200
     min_common_words: int = 100
     max_class_distance: float = 0.35
@@ -83,7 +86,7 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip(parts.sum(axis=1) / 2, 0, 1)), 0.0)
 
 
-#: One row per language and counted thing: a word (by hash), a character class, the documents with characters, all words.
+#: One row per language and counted thing: a word (by hash), a character class, all words, all characters.
 PARTIAL = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("word", T.StringType()),
 ])
@@ -129,6 +132,7 @@ def corpus_counts(docs: DataFrame, rules: Rules) -> DataFrame:
                     at, filled = np.flatnonzero(own[of_word]), own & (chars > 0)
                     yield rows(lang, "class", range(len(CLASSES)), (classes[filled] * UNIT // chars[filled, None]).sum(axis=0))
                     yield rows(lang, "total", [0], [len(at)])
+                    yield rows(lang, "chars", [0], [chars[own].sum()])
                     if len(at):
                         hashes, first, counts = np.unique(words.hashes[at], return_index=True, return_counts=True)
                         texts = np.full(len(hashes), "", dtype=object)
@@ -152,25 +156,32 @@ def corpus_counts(docs: DataFrame, rules: Rules) -> DataFrame:
 
 @dataclass(frozen=True)
 class Reference:
-    """Mean class histogram, and hashes (sorted) and shares of the common words with the share of all others last."""
+    """Mean class histogram, and hashes (sorted) and shares of the common words with the share of all others last.
+
+    ``by_class`` and ``by_word``: whether there is enough text to judge by each.
+    """
 
     classes: np.ndarray
     words: np.ndarray
     shares: np.ndarray
+    by_class: bool = True
+    by_word: bool = True
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
-    """Per language of at least ``language_share`` of all words, and for the whole corpus under EVERYTHING."""
+    """Per language with enough text for a histogram, and for the whole corpus under EVERYTHING."""
     counts = materialise(corpus_counts(docs, rules), "corpus_counts")
     corpus = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("word").alias("word")).select(F.lit(EVERYTHING).alias("lang"), "kind", "key", "n", "word")
     both = materialise(counts.filter(F.col("lang") != EVERYTHING).unionByName(corpus), "reference_counts")
-    totals = both.filter("kind = 'total'").select("lang", F.col("n").alias("total"))
+    sizes = both.filter("kind IN ('total', 'chars')").groupBy("lang")
+    totals = sizes.agg(F.max(F.when(F.col("kind") == "total", F.col("n"))).alias("total"), F.max(F.when(F.col("kind") == "chars", F.col("n"))).alias("chars"))
     all_words = both.filter(f"kind = 'total' AND lang = '{EVERYTHING}'").agg(F.max("n")).head()[0] or 0
-    large = totals.filter((F.col("total") >= rules.language_share * all_words) | (F.col("lang") == EVERYTHING))
+    enough = (F.col("chars") >= rules.min_language_chars) | (F.col("total") >= rules.min_language_words)
+    large = totals.filter((enough & (F.col("total") >= rules.language_share * all_words)) | (F.col("lang") == EVERYTHING))
     wanted = both.join(large, "lang").filter((F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= rules.common_share * F.col("total"))))
     found: dict[str, dict] = {}
-    for r in wanted.select("lang", "kind", "key", "n", "total").collect():
-        one = found.setdefault(r["lang"], {"class": np.zeros(len(CLASSES)), "words": {}, "total": max(1, r["total"])})
+    for r in wanted.select("lang", "kind", "key", "n", "total", "chars").collect():
+        one = found.setdefault(r["lang"], {"class": np.zeros(len(CLASSES)), "words": {}, "total": max(1, r["total"]), "chars": r["chars"]})
         if r["kind"] == "class":
             one["class"][r["key"]] = r["n"]
         else:
@@ -179,7 +190,8 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
     for lang, one in found.items():
         hashes = np.array(sorted(one["words"]), dtype=np.uint64)
         shares = np.array([one["words"][int(h)] for h in hashes], dtype=float) / one["total"]
-        out[lang] = Reference(one["class"] / max(1.0, one["class"].sum()), hashes, np.append(shares, max(0.0, 1 - shares.sum())))
+        by_class, by_word = one["chars"] >= rules.min_language_chars, one["total"] >= rules.min_language_words
+        out[lang] = Reference(one["class"] / max(1.0, one["class"].sum()), hashes, np.append(shares, max(0.0, 1 - shares.sum())), by_class, by_word)
     return out
 
 
@@ -227,12 +239,11 @@ def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), doc: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """Counts, both distances (null where the text is too short for them) and the verdict for every row."""
+    """Counts, both distances (null where the text or all of its language is too short for them) and the verdict for every row."""
     source = _named(docs, lang, text, F.col(doc).cast("bigint").alias("doc_id"))
     known = docs.sparkSession.sparkContext.broadcast(references(_named(docs, lang, text), rules))
 
     def run(batches):
-        empty = Reference(np.full(len(CLASSES), 1 / len(CLASSES)), np.zeros(0, dtype=np.uint64), np.ones(1))
         for whole in batches:
             for batch in slices(whole, "text"):
                 words, langs = split_words(batch.column("text")), np.array(batch.column("lang").to_pylist(), dtype=object)
@@ -240,12 +251,16 @@ def judge(docs: DataFrame, rules: Rules = Rules(), doc: str = "doc_id", lang: st
                 lowered = split_words(batch.column("text"), NOT_SPACE, lower=True)
                 classes = class_histograms(data, offsets)
                 by_class, by_word = np.zeros(len(words)), np.zeros(len(words))
+                class_judged, word_judged = classes.sum(axis=1) >= rules.min_class_chars, n_words >= rules.min_common_words
                 for one in set(langs.tolist()):
                     own = langs == one
-                    reference = known.value.get(one) or known.value.get(EVERYTHING) or empty
+                    reference = known.value.get(one)
+                    class_judged[own] &= reference is not None and reference.by_class
+                    word_judged[own] &= reference is not None and reference.by_word
+                    if reference is None:
+                        continue
                     by_class[own] = distance(classes[own], reference.classes)
                     by_word[own] = distance(word_histograms(lowered, own, reference), reference.shares)
-                class_judged, word_judged = classes.sum(axis=1) >= rules.min_class_chars, n_words >= rules.min_common_words
                 repeated = repeated_words(words)
                 failed = (n_words < rules.min_words) | (100 * repeated > rules.repeat_percent * n_words)
                 far = (class_judged & (by_class > rules.max_class_distance)) | (word_judged & (by_word > rules.max_word_distance))
