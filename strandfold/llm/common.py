@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,6 +23,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: A stored side of a join is broadcast up to so many bytes; beyond, it is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_bytes(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (stored) marked for broadcast if its rows, of ``size`` bytes each, fit; else as it is."""
+    return F.broadcast(df) if (df.agg(F.sum(size + 16)).head()[0] or 0) <= most else df
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: T.StructType) -> DataFrame:
     """``work`` gives the columns of the result for one batch of ``df``."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import arcwarc, chatformat, divergence, linedup, mixing, neardup, packing
+from . import arcwarc, chatformat, divergence, linedup, mixing, neardup, packing, substrings
 from . import decontaminate as contamination
 from . import shards as sharding
 from . import toxicity
@@ -212,3 +212,26 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {BASE32_SQL.forma
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
 FROM r
 """
+
+
+@query
+def op13_substring_trees(spark: SparkSession, directory: str) -> DataFrame:
+    judged = substrings.judge(table(spark, directory, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "judged.n_words", "judged.n_removed", F.sha2("judged.kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_trees"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, {SPACED_SQL.format(t="coalesce(text, '')")} AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT row, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h
+  FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+),
+later AS (SELECT row, i FROM (SELECT row, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS least FROM windows) WHERE doc_id > least),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + 50)) AS j FROM later),
+flat AS (SELECT row, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+judged AS (
+  SELECT row, count(gone.j) AS n, string_agg(CASE WHEN gone.j IS NULL THEN x END, ' ' ORDER BY flat.j) AS kept
+  FROM flat LEFT JOIN gone USING (row, j) GROUP BY row
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN judged USING (row)
+"""
