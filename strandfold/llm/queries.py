@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import arcwarc, chatformat, divergence, linedup, mixing, neardup, packing, substrings
+from . import arcwarc, centroids, chatformat, divergence, linedup, mixing, neardup, packing, substrings, turns
 from . import decontaminate as contamination
 from . import shards as sharding
 from . import toxicity
@@ -235,3 +235,124 @@ judged AS (
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN judged USING (row)
 """
+
+
+@query
+def op11_ptolemaic_centroids(spark: SparkSession, directory: str) -> DataFrame:
+    found = centroids.cluster(table(spark, directory, "embeddings").select("vec_id", "embedding"))
+    return found.described().select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Centroids c0, c1, ... and the distances from them, round after round."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+d{r} AS MATERIALIZED (
+  SELECT v.row, vec_id, v.x, c.n AS cluster, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+  FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY v.row ORDER BY distance, c.n) = 1
+)""")
+        if r < rounds:
+            out.append(f"""
+m{r} AS (
+  SELECT cluster, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x
+  FROM (SELECT cluster, i, CAST(sum(x[i]) AS DOUBLE) AS total, count(*) AS n FROM (SELECT cluster, x, unnest(range(1, 65)) AS i FROM d{r}) GROUP BY cluster, i) GROUP BY cluster
+),
+c{r + 1} AS MATERIALIZED (SELECT n, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} ON m{r}.cluster = c{r}.n)""")
+    return ",".join(out)
+
+
+ORACLES["op11_ptolemaic_centroids"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS n, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL) QUALIFY n < 16
+),{_rounds_sql(3)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM d3 JOIN c3 ON c3.n = d3.cluster
+"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
+    given = turns.plain(table(spark, directory, "conversations"))
+    rows = turns.damage(given)
+    found = turns.diagnose(given.select("conv_id").distinct(), rows)
+    hashes = turns.digests(found, rows).withColumnRenamed("conv_id", "_conv")
+    return found.join(hashes, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+
+
+#: CRC-32 of an ASCII text in DuckDB, from the table of its polynomial.
+CRC_TABLE_SQL = "SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+#: Paths by their letters as text: at each row an Insert or none, then one edit; of equal length and last initial the best is kept.
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE_SQL}),
+ids AS MATERIALIZED (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+given AS (
+  SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC_SQL.format(s="(coalesce(CAST(ids.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fate
+  FROM crc, conversations JOIN ids ON ids.conv_id IS NOT DISTINCT FROM conversations.conv_id
+),
+damaged AS (
+  SELECT c, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS again FROM given WHERE fate <> 0
+),
+placed AS (
+  SELECT c, turn, role, text, substr(role, 1, 1) AS x, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) AS seen,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed FROM damaged
+),
+s AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, seen) AS p,
+    CASE WHEN trimmed = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed
+),
+inserts AS (SELECT * FROM (VALUES ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) AS t(g, x)),
+follows AS (SELECT g, x, x IN ('u', 'a') AS given FROM (SELECT * FROM inserts UNION ALL SELECT '', 's') t(g, x)),
+dp AS (
+  SELECT c, CAST(0 AS BIGINT) AS p, '' AS g, '' AS audit, 0 AS cost FROM ids
+  UNION ALL
+  SELECT c, p, g, audit, cost FROM (
+    WITH before AS (
+      SELECT c, p, g, audit, cost FROM dp UNION ALL SELECT c, p, inserts.x, audit || 'I', cost + 3 FROM dp JOIN inserts USING (g)
+    ),
+    here AS (SELECT b.*, s.x, s.fault FROM before b JOIN s ON s.c = b.c AND s.p = b.p + 1),
+    edits AS (
+      SELECT c, p, g, audit || 'D' AS audit, cost + 4 AS cost FROM here
+      UNION ALL SELECT c, p, x, audit || 'K', cost + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END FROM here JOIN follows USING (g, x) WHERE fault NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT c, p, f.x, audit || 'R', cost + CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END FROM here JOIN inserts f USING (g) WHERE fault NOT IN ('blank', 'duplicate')
+    )
+    SELECT c, p + 1 AS p, g, audit, cost FROM edits QUALIFY row_number() OVER (PARTITION BY c, g, length(audit) ORDER BY cost, audit) = 1
+  )
+),
+ended AS (
+  SELECT dp.c, g, audit, cost FROM dp JOIN (SELECT ids.c, count(s.c) AS n FROM ids LEFT JOIN s USING (c) GROUP BY ids.c) t ON t.c = dp.c AND t.n = dp.p
+),
+best AS MATERIALIZED (
+  SELECT c, audit, cost FROM (
+    SELECT c, audit, cost FROM ended WHERE g IN ('', 'a') UNION ALL SELECT c, audit || 'I', cost + 3 FROM ended WHERE g = 'u' UNION ALL SELECT c, audit || 'II', cost + 6 FROM ended WHERE g = 's'
+  ) QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost, audit) = 1
+),
+letters AS (
+  SELECT c, k, e, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER w AS q
+  FROM (SELECT c, unnest(string_split(audit, '')) AS e, unnest(range(length(audit))) AS k FROM best WHERE audit <> '') WINDOW w AS (PARTITION BY c ORDER BY k)
+),
+applied AS (
+  SELECT l.c, k, e, q, s.role, s.text, max(CASE WHEN q = 1 AND e = 'K' AND s.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.c) AS system
+  FROM letters l LEFT JOIN s ON s.c = l.c AND s.p = l.p AND e <> 'I' WHERE e <> 'D'
+),
+texts AS (
+  SELECT c, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (q - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS h FROM applied GROUP BY c
+),
+pairs AS (SELECT c, x, lag(x) OVER (PARTITION BY c ORDER BY p) AS y, p FROM s),
+counts AS (
+  SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated
+  FROM s GROUP BY c
+),
+wrong AS (SELECT c, count(*) FILTER (p > 1 AND y || x NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM ids JOIN best USING (c) LEFT JOIN counts USING (c) LEFT JOIN wrong USING (c) LEFT JOIN texts USING (c)
+"""
