@@ -56,6 +56,11 @@ class Record:
     truncated: bool = False
     broken: bool = False
 
+    @property
+    def version_block(self) -> bool:
+        """The first record of a file; a later one whose URL looks alike is a document."""
+        return self.offset == 0 and not self.broken and self.url.startswith("filedesc://")
+
     def http(self) -> tuple[bytes, bytes] | None:
         """HTTP head and payload, if the block is an HTTP message."""
         if not self.block.startswith(b"HTTP/"):
@@ -122,7 +127,7 @@ def read_arc(content: bytes) -> Iterator[Record]:
                 continue
             end = data.find(b"\n", at)
             line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
-            if line.startswith("filedesc://"):
+            if offset + at == 0 and line.startswith("filedesc://"):
                 version = 2 if data[end + 1 : end + 2] == b"2" else 1
             names = FIELDS[version]
             values = line.rsplit(" ", len(names))
@@ -157,7 +162,7 @@ def warc_record(archive: str, record: Record, original: tuple[str, str, str] | N
     block, kind = record.block, record.fields.get("type", "application/octet-stream")
     if record.broken:
         type_, kind = "metadata", "application/octet-stream"
-    elif record.url.startswith("filedesc://"):
+    elif record.version_block:
         type_, kind = "warcinfo", "application/warc-fields"
         head.append(("WARC-Filename", archive))
         block = b"software: strandfold\r\nformat: WARC File Format 1.1\r\nconverted-from: " + record.url.encode() + b"\r\n"
@@ -244,7 +249,7 @@ def index_arc(archives: DataFrame) -> DataFrame:
             for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
                 rows = []
                 for r in read_arc(content.as_py()):
-                    if not r.broken and not r.url.startswith("filedesc://"):
+                    if not r.broken and not r.version_block:
                         payload, found = r.payload(), r.http()
                         rows.append((name, r.offset, _page_id(found[0]) if found else None, r.url, warc_date(r.fields["date"]), record_id(name, r), hashlib.sha256(payload).digest(), len(payload)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, _arrow(INDEX), strict=True)], schema=_arrow(INDEX))

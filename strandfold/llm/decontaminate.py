@@ -12,6 +12,7 @@ windows hit. Columns of the input with the names of added columns are replaced.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,11 +183,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     A cut goes from the first byte of the first hit word to the last byte of the last one of a run.
     """
-    found, kept = scan(docs, benchmark, text=text, **options), [c for c in docs.columns if c.lower() not in ADDED]
-    if remove == "documents":
-        return found.filter(F.size("hit_spans") == 0).select(*kept)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
+    # Columns of the input that scanning would replace step aside meanwhile.
+    aside = {c: f"{c} of {uuid.uuid4().hex}" if c.lower() in ADDED else c for c in docs.columns}
+    text = aside.get(text, text)
+    found = scan(docs.withColumnsRenamed(aside), benchmark, text=text, **options)
+    back = [F.col(f"`{new}`").alias(old) for old, new in aside.items()]
+    if remove == "documents":
+        return found.filter(F.size("hit_spans") == 0).select(*back)
+    kept = list(aside.values())
     schema = T.StructType([f for f in found.schema.fields if f.name in kept])
 
     def run(batches):
@@ -200,4 +206,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                         texts[d] = b"".join(raw[x:y] for x, y in zip([0, *[c[1] for c in cuts]], [*[c[0] for c in cuts], len(raw)], strict=True)).decode()
                 yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(text).type) if n == text else batch.column(n) for n in kept], names=kept)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema).select(*back)

@@ -7,9 +7,10 @@ is long enough for it.
 
 A language has at most 1 / common_share common words. It has a class histogram of its own from ``min_language_chars``
 characters and a word histogram from ``min_language_words`` words, however large the rest of the corpus is; by one that
-it does not have, its documents are not judged. All references are sent to every task, so languages should be thousands
-at most. A ``language_share`` above 0 leaves out languages with less than that share of all words. A word that is common in a language is common in at least one task's part of it, so only
-there is its text sent along; everywhere else its hash and count are enough.
+it does not have, its documents are not judged. References are broadcast in blocks of at most ``block_languages``
+languages, one pass over the documents for each block, so their number has no limit; all but noisy language columns
+need one pass. A word that is common in a language is common in at least one task's part of it, so only there is its text
+sent along; everywhere else its hash and count are enough.
 
 Defined cases: a null text has no words; a null language is a language of its own, named ''; a document too short for a
 histogram is not judged by it; an empty table gives no rows. Repeated rows are judged each. Columns of the input
@@ -19,6 +20,7 @@ other than the named ones are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,6 @@ SYMBOLS = b"#*$%&|<>"
 #: Sums over documents are of whole millionths, so that they do not depend on the order of addition.
 UNIT = 1_000_000
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "quote", "symbol", "control", "latin", "wide", "other")
-EVERYTHING = "*"
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Rules:
     min_words: int = 10
     repeat_percent: int = 20
     common_share: float = 0.002
-    language_share: float = 0.0
+    block_languages: int = 2000
     min_language_chars: int = 2000
     min_language_words: int = 1000
     min_class_chars: int = 200
@@ -168,19 +169,20 @@ class Reference:
     by_word: bool = True
 
 
-def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
-    """Per language with enough text for a histogram, and for the whole corpus under EVERYTHING."""
+def reference_counts(docs: DataFrame, rules: Rules) -> DataFrame:
+    """The counts that references are made of, for languages with enough text for a histogram, stored."""
     counts = materialise(corpus_counts(docs, rules), "corpus_counts")
-    corpus = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("word").alias("word")).select(F.lit(EVERYTHING).alias("lang"), "kind", "key", "n", "word")
-    both = materialise(counts.filter(F.col("lang") != EVERYTHING).unionByName(corpus), "reference_counts")
-    sizes = both.filter("kind IN ('total', 'chars')").groupBy("lang")
+    sizes = counts.filter("kind IN ('total', 'chars')").groupBy("lang")
     totals = sizes.agg(F.max(F.when(F.col("kind") == "total", F.col("n"))).alias("total"), F.max(F.when(F.col("kind") == "chars", F.col("n"))).alias("chars"))
-    all_words = both.filter(f"kind = 'total' AND lang = '{EVERYTHING}'").agg(F.max("n")).head()[0] or 0
-    enough = (F.col("chars") >= rules.min_language_chars) | (F.col("total") >= rules.min_language_words)
-    large = totals.filter((enough & (F.col("total") >= rules.language_share * all_words)) | (F.col("lang") == EVERYTHING))
-    wanted = both.join(large, "lang").filter((F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= rules.common_share * F.col("total"))))
+    large = totals.filter((F.col("chars") >= rules.min_language_chars) | (F.col("total") >= rules.min_language_words))
+    wanted = counts.join(large, "lang").filter((F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= rules.common_share * F.col("total"))))
+    return materialise(wanted.select("lang", "kind", "key", "n", "total", "chars"), "reference_counts")
+
+
+def build_references(rows: list, rules: Rules) -> dict[str, Reference]:
+    """By language, from rows of ``reference_counts``."""
     found: dict[str, dict] = {}
-    for r in wanted.select("lang", "kind", "key", "n", "total", "chars").collect():
+    for r in rows:
         one = found.setdefault(r["lang"], {"class": np.zeros(len(CLASSES)), "words": {}, "total": max(1, r["total"]), "chars": r["chars"]})
         if r["kind"] == "class":
             one["class"][r["key"]] = r["n"]
@@ -241,7 +243,15 @@ def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def judge(docs: DataFrame, rules: Rules = Rules(), doc: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """Counts, both distances (null where the text or all of its language is too short for them) and the verdict for every row."""
     source = _named(docs, lang, text, F.col(doc).cast("bigint").alias("doc_id"))
-    known = docs.sparkSession.sparkContext.broadcast(references(_named(docs, lang, text), rules))
+    counts = reference_counts(_named(docs, lang, text), rules)
+    n = max(1, -(-counts.select("lang").distinct().count() // rules.block_languages))
+    block = F.pmod(F.xxhash64("lang"), F.lit(n))
+    parts = [_judge_block(source.filter(block == b) if n > 1 else source, build_references(counts.filter(block == b).collect(), rules), rules) for b in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _judge_block(source: DataFrame, references: dict[str, Reference], rules: Rules) -> DataFrame:
+    known = source.sparkSession.sparkContext.broadcast(references)
 
     def run(batches):
         for whole in batches:

@@ -28,7 +28,8 @@ from .common import broadcast_if_small, without
 
 DIMENSIONS = ("source", "lang", "topic")
 ADDED = ("topic", "n_tokens", "probability", "sampled")
-ROUNDS, TOLERANCE = 60, 1e-6
+#: Raking that has not come within the tolerance after so many rounds is an error: the targets contradict the cells.
+ROUNDS, TOLERANCE = 200, 1e-6
 
 
 def token_count(text: str = "text") -> Column:
@@ -99,6 +100,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         fitted = step.drop("off")
         if off is None or off <= tolerance:
             break
+    else:
+        raise ValueError(f"Raking is off by {off} after {rounds} rounds: the targets cannot all be met by the cells that have tokens.")
     return fitted.drop(*[f"_target_{d}" for d in targets])
 
 
@@ -122,7 +125,9 @@ def sample_by_weight(
         rated = rated.withColumn("_p", F.col("_p") * F.least(F.lit(1.0), F.try_divide(F.lit(float(keep_tokens)), expected)))
     rated = materialise(rated.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "_p"), "probabilities")
     # The largest cell may hold a third of all documents: the small side is broadcast, or its skewed keys are split.
-    same = [_key(d) == F.col(f"_{d}") for d in DIMENSIONS]
-    joined = full.join(broadcast_if_small(rated, 100_000), same, "left").drop(*[f"_{d}" for d in DIMENSIONS])
-    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(doc).cast("string"), F.col(text)), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return joined.withColumn("probability", F.coalesce("_p", F.lit(0.0))).withColumn("sampled", draw < F.col("probability")).drop("_p")
+    # Columns of the input are out of the way in a struct.
+    held = full.select(F.struct(*[F.col(f"`{c}`") for c in full.columns]).alias("row"), *[_key(d).alias(f"_{d}") for d in DIMENSIONS])
+    joined = held.join(broadcast_if_small(rated, 100_000), [f"_{d}" for d in DIMENSIONS], "left")
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"row.`{doc}`").cast("string"), F.col(f"row.`{text}`")), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    probability = F.coalesce("_p", F.lit(0.0))
+    return joined.select("row.*", probability.alias("probability"), (draw < probability).alias("sampled"))

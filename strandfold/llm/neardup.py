@@ -328,8 +328,10 @@ def _grouped(docs: DataFrame, settings: Settings, doc: str, text: str) -> tuple[
 def deduplicate(docs: DataFrame, settings: Settings = Settings(), doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one of the smallest id; rows without an id stay."""
     found, unique = _grouped(docs, settings, doc, text)
-    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(broadcast_if_small(gone), F.col(doc).cast("bigint") == F.col("_gone"), "left_anti")
+    gone = materialise(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    # Columns of the input are out of the way in a struct.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("doc_id", F.col(f"row.`{doc}`").cast("bigint"))
+    kept = held.join(broadcast_if_small(gone), "doc_id", "left_anti").select("row.*")
     if unique:
         return kept
     return kept.filter(F.col(doc).isNotNull()).dropDuplicates([doc, text]).unionByName(kept.filter(F.col(doc).isNull()))

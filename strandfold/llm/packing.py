@@ -2,7 +2,8 @@
 
 Texts become token ids of a public byte-level vocabulary. A document of more than ``length`` tokens is split into
 segments of exactly ``length`` and one shorter rest, so nothing is cut off. Segments are dealt in turn to pools of a
-bounded number of tokens, whatever their ids or texts are, and each pool is packed on its own: segments by falling
+bounded number of tokens, whatever their ids or texts are (so which pool a segment is in depends on how the input is
+partitioned), and each pool is packed on its own: segments by falling
 length, each into the row whose free space is the smallest that still fits. The tree holds, for every free space from 0
 to ``length``, how many open rows have it, and finds the smallest one that is large enough in log(length) steps.
 
@@ -37,7 +38,12 @@ POOL_BYTES = 8 << 20
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Coarser than PATTERN and cutting only where it cuts: words with what touches them, and white space.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHED = 300_000
+#: What the remembered ids of one task may take, and what one of them takes beside its bytes.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 200
+#: A chunk of more characters is not remembered.
+LONG_CHUNK = 64
+#: What PATTERN and CHUNK both take for white space.
+BLANK = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ID = "<u2"
 
 
@@ -50,20 +56,31 @@ def _encoder(vocabulary: bytes):
 
 
 class Encoder:
-    """Ids of texts; words repeat, so their ids are remembered."""
+    """Ids of texts; words repeat, so their ids are remembered, in a bounded number of bytes."""
 
     def __init__(self, vocabulary: bytes):
-        self.encode_chunk, self.known = _encoder(vocabulary).encode_ordinary, {}
+        self.encoding, self.known, self.held = _encoder(vocabulary), {}, 0
+
+    def _chunk(self, chunk: str) -> bytes:
+        if len(chunk) > LONG_CHUNK and not chunk.strip(BLANK):
+            # White space alone is one piece of PATTERN, which would try it from every place of a long run.
+            ids = self.encoding._core_bpe.encode_single_piece(chunk.encode())
+        else:
+            ids = self.encoding.encode_ordinary(chunk)
+        return np.array(ids, dtype=ID).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         known, out = self.known, []
         for chunk in CHUNK.findall(text):
             ids = known.get(chunk)
             if ids is None:
-                ids = np.array(self.encode_chunk(chunk), dtype=ID).tobytes()
-                if len(known) >= CACHED:
-                    known.clear()
-                known[chunk] = ids
+                ids = self._chunk(chunk)
+                if len(chunk) <= LONG_CHUNK:
+                    self.held += ENTRY_BYTES + len(ids) + len(chunk)
+                    if self.held > CACHE_BYTES:
+                        known.clear()
+                        self.held = 0
+                    known[chunk] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype=ID)
 

@@ -8,6 +8,7 @@ left in between, the cuts are those of the search over all groups.
 
 Defined cases: null and empty texts are one group of size 1 a row; an empty table gives no rows; equal groups stay whole
 even if one is larger than a fair share (then that is the capacity); repeated rows each get a slot of their own.
+Columns of the input with the names of added columns are replaced; others, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -109,31 +110,32 @@ def _open_fill(atoms: list[Atom], sums: list[int], shards: int, capacity: int) -
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
-    """``docs`` plus ``size``, ``shard`` and ``slot``.
-
-    Rows stay where they are: each written file is sorted by shard, so a slot is the row's place in its file plus the
-    rows of that shard in earlier files.
-    """
-    base = without(docs, "size", "shard", "slot", "_key", "_file", "_row")
-    bytes_ = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
-    keyed = base.withColumn("size", bytes_).withColumn("_key", group_key(F.coalesce(F.col(text), F.lit(""))))
-    groups = materialise(keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")), "shard_groups")
+    """``docs`` plus ``size`` and ``shard``."""
+    base = without(docs, "size", "shard")
+    size, key = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1, group_key(F.coalesce(F.col(text), F.lit("")))
+    groups = materialise(base.select(key.alias("key"), size.alias("size")).groupBy("key").agg(F.sum("size").alias("size")), "shard_groups")
     cuts = plan_cuts(groups, shards)
     shard = F.lit(0)
     for cut in cuts:
-        shard = shard + (F.col("_key") >= F.lit(cut)).cast("int")
-    return keyed.withColumn("shard", shard.cast("int")).drop("_key")
+        shard = shard + (key >= F.lit(cut)).cast("int")
+    return base.select("*", size.alias("size"), shard.cast("int").alias("shard"))
 
 
 def number_slots(assigned: DataFrame) -> DataFrame:
-    """Store the rows sorted by shard inside each partition, and add ``slot``, gapless from 0 in every shard."""
-    stored = materialise(assigned.sortWithinPartitions("shard"), "sharded")
-    placed = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    runs = placed.groupBy("_file", "shard").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("shard").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = placed.join(runs.drop("_n"), ["_file", "shard"])
-    return joined.withColumn("slot", (F.col("_offset") + F.col("_row") - F.col("_first")).cast("bigint")).drop("_file", "_row", "_first", "_offset")
+    """Store the rows sorted by shard inside each partition, and add ``slot``, gapless from 0 in every shard.
+
+    Rows stay where they are: each written file is sorted by shard, so a slot is the row's place in its file plus the
+    rows of that shard in earlier files.
+    """
+    base = without(assigned, "slot")
+    held = base.sortWithinPartitions("shard").select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("given"), F.col("shard"))
+    stored = materialise(held, "sharded")
+    placed = stored.select("given", "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    runs = placed.groupBy("file", "shard").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("shard").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    joined = placed.join(runs.drop("n"), ["file", "shard"])
+    return joined.select("given.*", (F.col("offset") + F.col("at") - F.col("first")).cast("bigint").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, text: str = "text") -> None:

@@ -1,22 +1,25 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
-Fitting takes three disjoint parts of the labelled rows: a lexicon of words and word beginnings that toxic documents
-prefer, the trees (pyspark.ml), and the calibration (pyspark.ml isotonic regression). Features are densities of lexicon
-terms, how near they stand to second-person words, shares of capitals, punctuation marks and spelled-over words
-(letters replaced by digits or signs). Labels, language, source and ids are never features.
+Fitting is crossed over ``folds`` folds of the learnable rows, dealt within each label by a hash of the id: the features of
+a fold come from a lexicon of words and word beginnings that toxic documents of the other folds prefer, the trees
+(pyspark.ml) that score a fold have not seen it, and the calibration (pyspark.ml isotonic regression) is fitted on all
+these scores together. What is used afterwards is the lexicon of all folds and the trees of all their rows. Features are
+densities of lexicon terms, how near they stand to second-person words, shares of capitals, punctuation marks and
+spelled-over words (letters replaced by digits or signs). Labels, language, source and ids are never features.
 
 Word beginnings are exact: the first 4 to 8 bytes packed into a number, which also covers languages that inflect.
-Counting terms is a distributed aggregation over all labelled rows of the part; the trees and the calibration see at
-most ``max_rows`` rows each (a sample by hash of the id), and the lexicon keeps the ``max_terms`` strongest terms.
+Fitting sees at most ``max_rows`` labelled documents, those of the smallest hashes of their ids. That bounds the lexicon,
+too, which has every term of at least ``min_docs`` toxic documents and ``min_weight``. Every document is scored.
 
 Defined cases: null and empty texts have only zero features and are scored like any other; labels that are null are
-left out; without labelled rows, or with one label only, every score is that label's share (0 without rows); a document
-with several label rows counts once for each; an empty table gives no rows. Columns not named are not read.
+left out; with fewer than two documents of a label there is no model and every score is the share of toxic rows (0 without
+rows); a document with several label rows counts once for each, in one fold; an empty table gives no rows. Columns not named are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +49,8 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 20_000
-    max_terms: int = 4_000
+    max_rows: int = 40_000
+    folds: int = 3
     min_docs: int = 3
     min_weight: float = 1.5
     trees: int = 20
@@ -89,43 +93,59 @@ def _text(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
 
-TERM = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+TERM = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("fold", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def term_documents(labelled: DataFrame) -> DataFrame:
-    """``key, toxic_docs, clean_docs`` for every term of the labelled texts."""
+    """``toxic, fold, key, n``: in how many documents of a label and fold a term is, in parts."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = split_words(batch.column("text"), ALPHANUMERIC, lower=True)
-                toxic = np.asarray(batch.column("toxic").to_pylist(), dtype=np.int64)
-                counts = {0: [], 1: []}
+                groups: dict[tuple[int, int], list] = {}
                 keys = term_keys(words)
                 for d, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
                     own = np.unique(np.concatenate([k[a:b] for k in keys]))
-                    counts[int(toxic[d])].append(own[own != 0])
-                for label, found in counts.items():
-                    if found:
-                        own, n = np.unique(np.concatenate(found), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), label, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=TERM.names)
-
-    by = labelled.select("toxic", "text").mapInArrow(run, TERM)
-    # A term of no toxic document cannot be in the lexicon, so counts of both labels meet in one aggregation.
-    return by.groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic_docs"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean_docs"))
-
-
-def fit_lexicon(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and weights of the strongest terms; a weight is a log odds ratio less its standard error."""
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    t, c = F.col("toxic_docs") + 0.5, F.col("clean_docs") + 0.5
-    odds = F.log(t / (n_toxic + 1 - t)) - F.log(c / (n_clean + 1 - c))
-    error = F.sqrt(1 / t + 1 / (n_toxic + 1 - t) + 1 / c + 1 / (n_clean + 1 - c))
-    terms = term_documents(labelled).filter(F.col("toxic_docs") >= settings.min_docs).filter((t < n_toxic + 1) & (c < n_clean + 1))
-    best = terms.select("key", (odds - error).alias("weight")).filter(F.col("weight") >= settings.min_weight).orderBy(F.desc("weight"), "key").limit(settings.max_terms)
-    rows = sorted((r["key"] % (1 << 64), r["weight"]) for r in best.collect())
-    return np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=float)
+                    groups.setdefault((batch.column("toxic")[d].as_py(), batch.column("fold")[d].as_py()), []).append(own[own != 0])
+                for (label, fold), found in groups.items():
+                    own, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(own), label, dtype=np.int32)), pa.array(np.full(len(own), fold, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64)),
+                    ], names=TERM.names)
+
+    return labelled.select("toxic", "fold", "text").mapInArrow(run, TERM)
+
+
+Lexicon = tuple[np.ndarray, np.ndarray]
+
+
+def fit_lexicons(labelled: DataFrame, settings: Settings) -> list[Lexicon]:
+    """Sorted keys and weights of the terms that speak for toxicity: without fold 0, without fold 1, ..., and of all.
+
+    A weight is a log odds ratio less its standard error.
+    """
+    sizes = {(r["toxic"], r["fold"]): r["n"] for r in labelled.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [[f for f in range(settings.folds) if f != left] for left in range(settings.folds + 1)]
+    counted = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{y}_{f}") for y in (0, 1) for f in range(settings.folds)]
+    terms, weights = term_documents(labelled).groupBy("key").agg(*counted), []
+    for folds in chosen:
+        n_toxic, n_clean = (sum(sizes.get((y, f), 0) for f in folds) for y in (1, 0))
+        toxic = sum((F.col(f"n1_{f}") for f in folds), F.lit(0))
+        t, c = toxic + 0.5, sum((F.col(f"n0_{f}") for f in folds), F.lit(0)) + 0.5
+        odds = F.log(t / (n_toxic + 1 - t)) - F.log(c / (n_clean + 1 - c))
+        error = F.sqrt(1 / t + 1 / (n_toxic + 1 - t) + 1 / c + 1 / (n_clean + 1 - c))
+        usable = (toxic >= settings.min_docs) & (t < n_toxic + 1) & (c < n_clean + 1)
+        weights.append(F.when(usable & (odds - error >= settings.min_weight), odds - error))
+    found = terms.select("key", *[w.alias(f"w{i}") for i, w in enumerate(weights)])
+    rows = found.filter(F.coalesce(*[f"w{i}" for i in range(len(weights))]).isNotNull()).toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    out = []
+    for i in range(len(weights)):
+        w = rows.column(f"w{i}").to_numpy(zero_copy_only=False).astype(float)[order]
+        out.append((keys[order][~np.isnan(w)], w[~np.isnan(w)]))
+    return out
 
 
 def term_weights(words: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -192,7 +212,7 @@ def feature_matrix(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) ->
 
 
 def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text: str) -> DataFrame:
-    """``docs`` plus the array ``features``. ``lexicon`` is broadcast; it has at most ``max_terms`` terms.
+    """``docs`` plus the array ``features``. ``lexicon`` is broadcast; its terms are among those of ``max_rows`` texts.
 
     Only the text goes to Python and only the features come back; the other columns stay where they are.
     """
@@ -208,7 +228,7 @@ def with_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text:
 
 
 def remainder(doc: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 4: 2 is held out, 0 and 1 give the lexicon, 3 the trees, 1 the calibration."""
+    """crc32 of the id as text, modulo 4: 2, and a null id, is held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(4)), F.lit(2))
 
 
@@ -235,29 +255,23 @@ def _raw(trees, frame: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the labelled rows that are not held out."""
     known = labels.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("toxic")).filter("toxic IN (0, 1)").filter(remainder("doc_id") != 2)
-    known = broadcast_if_small(materialise(known, "labels"))
-    joined = _text(docs, doc, text).filter(F.col("doc_id").isNotNull()).join(known, "doc_id").withColumn("part", remainder("doc_id"))
-    labelled = materialise(joined, "labelled")
-    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    parts = {p: labelled.filter(F.col("part") == p) for p in (1, 3)}
-    seen = {p: {r["toxic"] for r in f.select("toxic").distinct().collect()} for p, f in parts.items()}
-    if len(seen[3]) < 2 or not seen[1]:
-        return Model((np.zeros(0, dtype=np.uint64), np.zeros(0)), None, None, counts.get(1, 0) / total if total else 0.0)
-    lexicon = fit_lexicon(labelled.filter("part IN (0, 1)"), settings)
-
-    def sample(p: int) -> DataFrame:
-        """At most max_rows rows, those of the smallest hashes."""
-        ids = parts[p].select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
-        few = parts[p].select("doc_id", "toxic", "text").join(F.broadcast(ids), "doc_id")
-        rows = with_features(few, lexicon, "text").drop("text")
-        return materialise(rows.withColumn("vector", array_to_vector("features")), "training")
-
+    # A bounded number of documents, and their folds: dealt in turn within each label.
+    few = known.groupBy("doc_id").agg(F.max("toxic").alias("any")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
+    turn = F.row_number().over(W.partitionBy("any").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = materialise(few.select("doc_id", (turn % settings.folds).cast("int").alias("fold")).join(known, "doc_id"), "learnable")
+    labelled = materialise(_text(docs, doc, text).join(broadcast_if_small(few), "doc_id"), "labelled")
+    seen = {r["toxic"]: r for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.min("fold").alias("low"), F.max("fold").alias("high")).collect()}
+    total = sum(r["n"] for r in seen.values())
+    if len(seen) < 2 or any(r["low"] == r["high"] for r in seen.values()):
+        return Model((np.zeros(0, dtype=np.uint64), np.zeros(0)), None, None, seen[1]["n"] / total if 1 in seen else 0.0)
+    lexicons = fit_lexicons(labelled, settings)
+    parts = [with_features(labelled.filter(F.col("fold") == f), lexicons[f], "text").select("toxic", "fold", "features") for f in range(settings.folds)]
+    rows = materialise(reduce(DataFrame.unionByName, parts).withColumn("vector", array_to_vector("features")).withColumn("toxic", F.col("toxic").cast("double")), "training")
     grown = GBTClassifier(labelCol="toxic", featuresCol="vector", predictionCol="prediction", maxIter=settings.trees, maxDepth=settings.depth, maxBins=64, stepSize=0.2, seed=11)
-    trees = grown.fit(sample(3).withColumn("toxic", F.col("toxic").cast("double")))
-    checked = _raw(trees, sample(1).drop("vector"))
-    calibration = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(checked.withColumn("toxic", F.col("toxic").cast("double")))
-    return Model(lexicon, trees, calibration, counts.get(1, 0) / total)
+    unseen = [_raw(grown.fit(rows.filter(F.col("fold") != f)), rows.filter(F.col("fold") == f).drop("vector")).select("toxic", "raw") for f in range(settings.folds)]
+    pooled = materialise(reduce(DataFrame.unionByName, unseen), "unseen_scores")
+    calibration = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(pooled)
+    return Model(lexicons[-1], grown.fit(rows), calibration, seen[1]["n"] / total)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ an ASCII byte. Work arrays cover about a quarter of a megabyte at a time, howeve
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +49,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
             found.append(np.cumprod(steps, dtype=np.uint64))
+        if size > CHUNK + 1:  # a word longer than a chunk; not kept
+            return found[0], found[1]
         _powers[:] = found
     return _powers[0], _powers[1]
 
@@ -156,7 +160,14 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 * CHUNK) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return what was freed to the system: Python workers live on for other stages, beside an executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` text bytes, so that long texts do not add up."""
     _, offsets = text_buffer(batch.column(text))
     at = 0
@@ -164,3 +175,4 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 8 * CHUNK) -> Iterator[
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    give_back()

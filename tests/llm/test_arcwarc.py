@@ -56,3 +56,11 @@ def test_conversion_of_pages(spark):
     assert aw.pages_to_arc(pages.limit(0)).count() == 0
     least = aw.read_warc_records(aw.convert_arc(materialise(arcs, "arcs"), least=12)).collect()
     assert all(r["record_type"] == "response" for r in least)
+
+
+def test_pages_whose_url_looks_like_a_version_block(spark):
+    rows = [(1, "http://a.example/", "<p>one</p>"), (2, "filedesc://old.arc", "2 0 x"), (3, "filedesc://b c", "<p>three</p>"), (4, "http://d.example/x y", None), (5, None, "<p>five</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    records = aw.read_warc_records(aw.convert_arc(aw.pages_to_arc(pages))).collect()
+    assert sorted(r["page_id"] for r in records) == [1, 2, 3, 4, 5]
+    assert {r["page_id"]: r["payload_bytes"] for r in records} == {i: len(t or "") for i, _, t in rows}

@@ -10,7 +10,7 @@ import corpus_pipeline
 from strandfold.llm import mixing, neardup
 from strandfold.llm.queries import ORACLES, QUERIES
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +32,9 @@ def test_query_equals_sql(spark, data_dir, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == want
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", ["op1_divergence", "op4_toxicity", "op8_minimax_shards", "op9_mix_sources"])
@@ -60,7 +60,7 @@ def test_pipeline_stages(spark, data_dir, duck):
     toxic = {r[0] for r in duck.execute("SELECT doc_id FROM labels WHERE toxic = 1").fetchall()}
     clean = {r[0] for r in duck.execute("SELECT doc_id FROM labels WHERE toxic = 0").fetchall()}
     assert len(toxic & ids["toxicity"]) <= 0.5 * len(toxic) and len(clean - ids["toxicity"]) <= 0.02 * len(clean)
-    groups = neardup.near_duplicates(seen["toxicity"]).collect()
+    groups = neardup.near_duplicates(seen["toxicity"], corpus_pipeline.NEAR).collect()
     assert ids["near_duplicates"] == {r["doc_id"] for r in groups if r["kept"]}
     dirty = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({ORACLES['op6_decontaminate']}) WHERE contaminated").fetchall()}
     assert ids["decontamination"] == ids["near_duplicates"] - dirty

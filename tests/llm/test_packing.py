@@ -64,3 +64,20 @@ def test_chunks_give_the_vocabulary_s_own_ids():
     own, whole = pk.Encoder(vocabulary), pk._encoder(vocabulary)
     for text in ["a  b", "a   b\n\n c", "it's we'll  don't", "\n x\t\ty ", "tail  ", "1,234.5 %%% ¿qué?", " \n b"]:
         assert own.encode(text).tolist() == whole.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\u00a0", " \n\t", "\x1c"])
+def test_long_white_space(blank):
+    vocabulary = pk.read_vocabulary()
+    encoder = pk.Encoder(vocabulary)
+    for a, b in (("a", "b"), ("", "b"), ("a", ""), ("a", "\nb")):
+        short = a + blank * 90 + b
+        assert encoder.encode(short).tolist() == pk._encoder(vocabulary).encode_ordinary(short)
+    text = "a" + blank * 1_000_000 + "b"
+    assert pk.decode(encoder.encode(text), vocabulary) == text
+
+
+def test_the_cache_is_bounded_in_bytes():
+    encoder = pk.Encoder(pk.read_vocabulary())
+    encoder.encode(" ".join(f"x{i}" for i in range(200_000)) + " " + "y" * 100_000)
+    assert encoder.held <= pk.CACHE_BYTES and all(len(k) <= pk.LONG_CHUNK for k in encoder.known)
