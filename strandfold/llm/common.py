@@ -25,11 +25,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 #: A stored side of a join is broadcast up to so many bytes; beyond, it is shuffled.
 BROADCAST_BYTES = 32 << 20
+#: What a row of a broadcast table takes beside its values: key, pointers and padding.
+ROW_BYTES = 48
 
 
 def broadcast_if_bytes(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (stored) marked for broadcast if its rows, of ``size`` bytes each, fit; else as it is."""
-    return F.broadcast(df) if (df.agg(F.sum(size + 16)).head()[0] or 0) <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(size + ROW_BYTES)).head()[0] or 0) <= most else df
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: T.StructType) -> DataFrame:

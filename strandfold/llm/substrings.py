@@ -12,11 +12,12 @@ tree in the same way. A window with ``o`` words before its anchor is an internal
 together with one of depth ``o`` of the second: a node that is deep enough, and the least document below it keeps its copy.
 Windows of such nodes that overlap make up the maximal repeats.
 
-Groups share cells of bounded bytes, one task call each. A gram of more than ``largest`` suffixes is no group: its prefix
-is lengthened to the whole window, where a node needs no tree but only its least document, which is summed up partially
-before anything is shuffled. So a passage of any frequency is split over all tasks, and no group of pairs is ever made.
+Groups share cells of bounded bytes, one task call each. Of a gram with more than ``largest`` suffixes, fragments that are
+alike word for word are made one first, partially before anything is shuffled; if there are still more, its prefixes are
+lengthened to the whole window, where a node needs no tree but only its least document, again summed up partially. So a
+passage of any frequency is split over all tasks, and no group of pairs is ever made.
 
-Words are compared by 64-bit hashes, whole windows beyond ``largest`` by 128 bits.
+Words are compared by 64-bit hashes; fragments and windows of frequent grams by 128 bits.
 
 Defined cases: null and empty texts have no words; a text shorter than a window loses nothing; repeats inside one document
 (or between rows of equal ids) are kept; rows that repeat an id and text get equal results; a row without an id neither
@@ -26,7 +27,7 @@ Columns of the input with the names of added columns are replaced; others, whate
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +37,24 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import broadcast_if_bytes, without
-from .words import NOT_SPACE, Words, covered, mix, slices, split_words
+from .words import NOT_SPACE, WINDOW_BASE, Words, covered, mix, slices, split_words
 
 KEY = ["doc_id", "text_key"]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``window``: words of a repeat; ``gram``: words of an anchor; ``largest``: suffixes of one group."""
+    """``window``: words of a repeat; ``gram``: words of an anchor; ``largest``: suffixes of one
+    group, which take about 20 MB; ``cell_bytes``: of the groups that share a cell, on average."""
 
     window: int = 50
     gram: int = 16
-    largest: int = 4096
+    largest: int = 1 << 15
     cell_bytes: int = 8 << 20
 
     def __post_init__(self):
-        if not 0 < self.gram <= self.window < self.gram + 63:
-            raise ValueError("A window holds its anchor and has at most 63 places for it.")
+        if not 0 < self.gram <= self.window < self.gram + 62:
+            raise ValueError("A window holds its anchor and has at most 62 places for it.")
 
 
 @dataclass
@@ -87,6 +89,28 @@ def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
 
 
+#: Numbers of documents that are broadcast to find the rows to be shuffled, at 24 bytes each.
+BROADCAST_KEYS = 3_000_000
+
+
+def _join_few(docs: DataFrame, few: DataFrame, all_rows: bool) -> DataFrame:
+    """``docs`` joined with the stored ``few`` on KEY; with ``all_rows`` the other rows stay, with nulls.
+
+    Texts move only if they have to: a number of every document in ``few`` is broadcast, and rows without one stay where
+    they are. With more documents than that, all rows are shuffled.
+    """
+    own = docs.join(few, KEY, "left" if all_rows else "inner")
+    if few.count() > BROADCAST_KEYS:
+        return own
+    number = F.xxhash64(*KEY)
+    numbers, numbered = F.broadcast(few.select(number.alias("number")).distinct()), docs.withColumn("number", number)
+    own = numbered.join(numbers, "number", "left_semi").drop("number").join(few, KEY, "left" if all_rows else "inner")
+    if not all_rows:
+        return own
+    rest = numbered.join(numbers, "number", "left_anti").drop("number")
+    return own.unionByName(rest, allowMissingColumns=True)
+
+
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
@@ -187,6 +211,13 @@ def deep_copies(flat: np.ndarray, ends: np.ndarray, most: np.ndarray, least: np.
     return gone
 
 
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes in a binary column, and where each row's begin and end."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view("<u8"), (ends - ends[0]) // 8
+
+
 MARKS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text_key", T.LongType()), ("at", T.IntegerType()), ("before", T.LongType()))])
 
 
@@ -196,46 +227,81 @@ def copies_in_trees(found: DataFrame, cells: int, settings: Settings) -> DataFra
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         column = {c: cell.column(c).chunk(0) for c in ("doc_id", "text_key", "at", "most", "least")}
-        words = cell.column("words").chunk(0).cast(pa.large_binary())
-        ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
-        flat = np.frombuffer(words.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view("<u8") if ends[-1] % 8 == 0 and ends[0] % 8 == 0 else np.frombuffer(words.buffers()[2][ends[0] : ends[-1]], dtype="<u8")
+        flat, ends = _word_hashes(cell.column("words").chunk(0))
         most, least, docs = (column[c].to_numpy().astype(np.int64) for c in ("most", "least", "doc_id"))
-        gone = deep_copies(flat, (ends - ends[0]) // 8, most, least, docs, settings)
+        gone = deep_copies(flat, ends, most, least, docs, settings)
         hit = pa.array(np.flatnonzero(gone))
         return pa.table([column["doc_id"].take(hit), column["text_key"].take(hit), column["at"].take(hit), pa.array(gone[gone != 0])], names=MARKS.names)
 
     return found.withColumn("cell", F.pmod("gram", F.lit(cells))).groupBy("cell").applyInArrow(run, MARKS)
 
 
-WHOLE = T.StructType([T.StructField(n, t) for n, t in (("one", T.LongType()), ("two", T.LongType()), ("doc_id", T.LongType()), ("text_key", T.LongType()), ("at", T.IntegerType()))])
+def _fingerprints(flat: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the ``width`` words from each of ``starts`` on."""
+    out = []
+    for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        own, total = mix(flat ^ np.uint64(seed)), np.zeros(len(starts), dtype=np.uint64)
+        for j in range(width):
+            total = total * np.uint64(WINDOW_BASE) + own[starts + j]
+        out.append(mix(total))
+    return out[0], out[1]
+
+
+WHOLE = T.StructType([T.StructField(n, t) for n, t in (
+    ("one", T.LongType()), ("two", T.LongType()), ("doc_id", T.LongType()), ("text_key", T.LongType()), ("at", T.IntegerType()), ("o", T.IntegerType())
+)])
 
 
-def whole_windows(suspects: DataFrame, settings: Settings) -> DataFrame:
-    """A row per window of the anchors in ``places``: 128 bits of its words, and its first word's place."""
+def whole_windows(found: DataFrame, settings: Settings) -> DataFrame:
+    """A row per window of the fragments: 128 bits of its words, and how many of them stand before the anchor."""
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                words, found = _chosen(batch, settings)
-                size = found.high - found.low + 1
-                ends = np.concatenate([[0], np.cumsum(size)])
-                at, of = np.arange(ends[-1]) - np.repeat(ends[:-1] - found.low, size), np.repeat(found.doc, size)
-                other = replace(words, hashes=mix(words.hashes ^ np.uint64(0x5851F42D4C957F2D)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(words.windows(settings.window)[at].view(np.int64)), pa.array(other.windows(settings.window)[at].view(np.int64)),
-                    batch.column("doc_id").take(pa.array(of)), batch.column("text_key").take(pa.array(of)), pa.array(at - words.first[of], pa.int32()),
-                ], names=WHOLE.names)
+        for batch in batches:
+            flat, ends = _word_hashes(batch.column("words"))
+            most, least = (batch.column(c).to_numpy().astype(np.int64) for c in ("most", "least"))
+            size = most - least + 1
+            own, o = np.repeat(np.arange(len(size)), size), np.repeat(most + np.cumsum(size) - size, size) - np.arange(size.sum())
+            one, two = _fingerprints(flat, ends[:-1][own] + most[own] - o, settings.window)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[batch.column(c).take(pa.array(own)) for c in (*KEY, "at")], pa.array(o, pa.int32())], names=WHOLE.names)
 
-    return suspects.mapInArrow(run, WHOLE)
+    return found.select(*KEY, "at", "most", "least", "words").mapInArrow(run, WHOLE)
 
 
-def copies_of_frequent(suspects: DataFrame, settings: Settings) -> DataFrame:
-    """As ``copies_in_trees``, for anchors whose prefix is lengthened to the whole window."""
-    found = materialise(whole_windows(suspects, settings), "whole_windows")
-    smallest = found.groupBy("one", "two").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("_largest")).filter("smallest < _largest").drop("_largest")
+def copies_of_windows(found: DataFrame, settings: Settings) -> DataFrame:
+    """As ``copies_in_trees``, for fragments whose prefix is lengthened to the whole window."""
+    windows = materialise(whole_windows(found, settings), "whole_windows")
+    smallest = windows.groupBy("one", "two").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("_largest")).filter("smallest < _largest").drop("_largest")
     smallest = materialise(smallest, "frequent_windows")
-    gone = found.join(broadcast_if_bytes(smallest, F.lit(24)), ["one", "two"]).filter("doc_id > smallest")
-    return gone.select(*KEY, "at", F.lit(1).cast("bigint").alias("before"))
+    gone = windows.join(broadcast_if_bytes(smallest, F.lit(24)), ["one", "two"]).filter("doc_id > smallest")
+    return gone.groupBy(*KEY, "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("before"))
+
+
+def copies_of_frequent(found: DataFrame, settings: Settings) -> DataFrame:
+    """As ``copies_in_trees``, for grams of more than ``largest`` suffixes.
+
+    Fragments that are alike, word for word, are one first: the one of the least document. Only where a gram has more
+    than ``largest`` different fragments, their prefixes are lengthened.
+    """
+    place = F.struct(*KEY, "at")
+    named = materialise(found.withColumn("one", F.xxhash64("words", "most")).withColumn("two", F.xxhash64(F.lit(1), "words", "most")), "frequent_fragments")
+    alike = named.groupBy("gram", "one", "two").agg(F.min(place).alias("first"), F.min("most").alias("most"), F.min("least").alias("least"), F.any_value("words").alias("words"))
+    alike = materialise(alike.select("gram", "one", "two", "first.*", "most", "least", "words"), "different_fragments")
+    grams = materialise(alike.groupBy("gram").agg((F.count(F.lit(1)) > settings.largest).alias("many"), F.count(F.lit(1)).alias("n")), "frequent_grams")
+    parts = []
+    for r in grams.groupBy("many").agg(F.sum("n").alias("n")).collect():
+        own = alike.join(broadcast_if_bytes(grams.filter(F.col("many") == r["many"]).select("gram"), F.lit(8)), "gram", "left_semi")
+        parts.append(copies_of_windows(own, settings) if r["many"] else copies_in_trees(own.select(*FRAGMENT.names), _cells(own, r["n"], settings), settings))
+    marks = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    # Later fragments lose all their windows, those of the least document what its own fragment loses.
+    known = materialise(alike.select("one", "two", *KEY, "at").join(marks, [*KEY, "at"], "left").select("one", "two", F.col("doc_id").alias("least_doc"), F.coalesce("before", F.lit(0).cast("bigint")).alias("own")), "fragment_marks")
+    every = F.expr("shiftleft(shiftleft(1L, most - least + 1) - 1L, least)")
+    joined = named.join(broadcast_if_bytes(known, F.lit(32)), ["one", "two"])
+    return joined.select(*KEY, "at", F.when(F.col("doc_id") > F.col("least_doc"), every).otherwise(F.col("own")).alias("before")).filter("before != 0")
+
+
+def _cells(df: DataFrame, n: int, settings: Settings) -> int:
+    """How many cells n fragments are spread over."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * 12 * settings.window // settings.cell_bytes))
 
 
 def marked_windows(docs: DataFrame, settings: Settings = Settings(), doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,13 +316,9 @@ def marked_windows(docs: DataFrame, settings: Settings = Settings(), doc: str =
     suspects = materialise(shared.groupBy(*KEY, "frequent").agg(F.collect_set("at").alias("places")), "suspects")
     parts = []
     for frequent, n in sizes.items():
-        own = broadcast_if_bytes(suspects.filter(F.col("frequent") == frequent), 4 * F.size("places") + 16)
-        texts = keyed.join(own, KEY).select(*KEY, "text", "places")
-        if frequent:
-            parts.append(copies_of_frequent(texts, settings))
-        else:
-            cells = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * 12 * settings.window // settings.cell_bytes))
-            parts.append(copies_in_trees(fragments(texts, settings), cells, settings))
+        texts = _join_few(keyed, suspects.filter(F.col("frequent") == frequent).drop("frequent"), False).select(*KEY, "text", "places")
+        found = fragments(texts, settings)
+        parts.append(copies_of_frequent(found, settings) if frequent else copies_in_trees(found, _cells(docs, n, settings), settings))
     empty = docs.sparkSession.createDataFrame([], MARKS)
     gone = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else empty
     return materialise(gone.groupBy(*KEY).agg(F.collect_set(F.struct("at", "before")).alias("marks")), "marked_windows")
@@ -310,7 +372,7 @@ def _judged(docs: DataFrame, settings: Settings, doc: str, text: str) -> DataFra
 
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     held = held.select("row", F.col(f"row.`{doc}`").cast("bigint").alias("doc_id"), F.xxhash64(F.col(f"row.`{text}`")).alias("text_key"))
-    joined = held.join(broadcast_if_bytes(marks, 12 * F.size("marks") + 16), KEY, "left")
+    joined = _join_few(held, marks, True)
     return joined.select("row", look(F.col(f"row.`{text}`"), F.col("marks")).alias("judged"))
 
 

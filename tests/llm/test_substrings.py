@@ -47,7 +47,7 @@ def corpus(seed, window):
 
 
 @pytest.mark.parametrize("seed, settings", [
-    (1, ss.Settings(10, 4)), (2, ss.Settings(10, 10)), (3, ss.Settings(12, 1)), (4, ss.Settings(10, 4, largest=3)), (5, ss.Settings(10, 4, largest=0)), (6, ss.Settings()),
+    (1, ss.Settings(10, 4)), (2, ss.Settings(10, 10)), (3, ss.Settings(12, 1)), (4, ss.Settings(10, 4, largest=3)), (5, ss.Settings(10, 4, largest=0)), (6, ss.Settings()), (7, ss.Settings(10, 4, largest=12)),
 ])
 def test_removed_words_equal_brute_force(spark, seed, settings):
     rows = corpus(seed, settings.window)
