@@ -17,9 +17,9 @@ from ..operators.folds import assign_folds
 from ..operators.metrics import evaluate
 from ..session import local_table, shared_dir
 from ..sources.export import read_metadata, write_bundle
-from .common import expression_of, feature_table, over_folds
+from .common import expression_of, feature_table
 from .explain import Explanation, explain_target, labelled_rows
-from .network import Network, fit_network, resolve_settings
+from .network import Network, fit_folds, fit_network, resolve_settings
 
 THRESHOLD = 0.5
 
@@ -64,9 +64,9 @@ class Fitted:
 class MultiLabelModel:
     """Fit on a cohort, then score, embed and explain any expression table; genes are matched by symbol."""
 
-    def __init__(self, min_feature_overlap: float = 0.8, folds: int = 5, parallelism: int = 4, **settings):
+    def __init__(self, min_feature_overlap: float = 0.8, folds: int = 5, **settings):
         self.settings = resolve_settings(settings)
-        self.min_feature_overlap, self.folds, self.parallelism = min_feature_overlap, folds, parallelism
+        self.min_feature_overlap, self.folds = min_feature_overlap, folds
         self.fitted: Fitted | None = None
         #: Share of the model's features that the last scored data had.
         self.feature_overlap: float | None = None
@@ -155,13 +155,7 @@ class MultiLabelModel:
         folds, method = assign_folds(dense.select("sample_id", "cancer"), self.folds, self.settings["random_state"])
         folds = folds.checkpoint()
         table = dense.join(folds.select("sample_id", "fold"), "sample_id").checkpoint()
-
-        def one(fold: int) -> DataFrame:
-            network = fit_network(table.filter(F.col("fold") != fold), self.settings, validate=True)
-            held_out = table.filter(F.col("fold") == fold)
-            return network.predict(held_out).withColumn("fold", F.lit(fold).cast("bigint")).checkpoint()
-
-        scored = over_folds(table.sparkSession, self.folds, self.parallelism, one)
+        scored = fit_folds(table, self.folds, self.settings).score_folds()
         truth = long_rows(table, targets, "labels", "target", "truth").withColumn("truth", F.col("truth").cast("int"))
         scores = (
             long_scores(scored, targets)

@@ -1,25 +1,28 @@
-"""Shared-encoder multi-label network, trained data-parallel.
-
-Every epoch, each of ``replicas`` partitions runs minibatch Adam over its own rows from the same starting state; the
-resulting states are averaged, weighted by rows. Rows come in the order of a hash of their id and the epoch, and a
-minibatch may span transport batches, so training does not depend on how rows travel. The numpy code is only the
-arithmetic of one minibatch.
+"""Shared-encoder multi-label network, trained data-parallel, with its state in a table.
+
+The state (parameters and both moments) of a model is rows of about a megabyte in shared storage, one version per epoch.
+Training rows are cut into replicas of bounded size by a hash of their id and stay where they are; every epoch the last
+version travels to them, each replica runs minibatch Adam over its own rows, and the resulting chunks are averaged by key,
+weighted by rows, into the next version. The driver sees losses. Several models, as those of a cross-validation, are
+further keys of the same jobs. A replica takes its rows in an order drawn from the epoch, however they travelled, so a
+repeated task repeats its work. The numpy code is only the arithmetic of one minibatch.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import seeded_ordinals
-from ..session import shared_dir
+from ..session import checkpoint_by, materialise, shared_dir
 
 # Default settings.
 DEFAULTS = {
@@ -37,23 +40,27 @@ DEFAULTS = {
     "random_state": 42,
 }
 NORM_EPS = 1e-5
+#: Numbers in a row of the state table.
 STATE_CHUNK = 1 << 18
-#: Partitions that train side by side, at every size; a setting, to be raised with the cluster.
-REPLICAS = 4
+#: Bytes of training rows in a replica: the number of replicas follows the data. The setting ``replicas`` overrides it.
+REPLICA_BYTES = 64 << 20
+#: Replicas that are averaged together; more take further rounds.
+FAN_IN = 32
 
 
 class Watch:
-    """Held-out losses: which state to keep, when to halve the rate, when to stop.
+    """Held-out losses: which version to keep, when to halve the rate, when to stop.
 
-    A state is kept if it betters the lowest loss by an absolute margin. The rate follows a relative margin of its
+    A version is kept if it betters the lowest loss by an absolute margin. The rate follows a relative margin of its
     own, and is halved once a third of the patience (one epoch at least) has passed without it.
     """
 
+    # The two margins.
     KEEP_MARGIN, RATE_MARGIN = 1e-5, 1e-4
 
     def __init__(self, rate: float, patience: int):
         self.rate, self.patience = rate, patience
-        self.kept: np.ndarray | None = None
+        self.kept: int | None = None
         self._lowest, self._since_kept = np.inf, 0
         self._reference, self._since_better = np.inf, 0
 
@@ -61,10 +68,10 @@ class Watch:
     def exhausted(self) -> bool:
         return self._since_kept >= self.patience
 
-    def see(self, loss: float, state: np.ndarray) -> None:
+    def see(self, loss: float, version: int) -> None:
         self._since_kept += 1
         if loss < self._lowest - self.KEEP_MARGIN:
-            self.kept, self._lowest, self._since_kept = state.copy(), loss, 0
+            self.kept, self._lowest, self._since_kept = version, loss, 0
         self._since_better += 1
         if loss < self._reference * (1 - self.RATE_MARGIN):
             self._reference, self._since_better = loss, 0
@@ -256,100 +263,263 @@ class Network:
         return keyed.mapInPandas(explain, "sample_id string, shap array<double>")
 
 
-def _column_stats(dense: DataFrame) -> dict:
-    """Row count, input mean and scale, positives per label: one pass, vectors only."""
-    vectors = dense.select(array_to_vector("features").alias("x"), array_to_vector("labels").alias("y"))
-    row = vectors.select(
-        Summarizer.metrics("mean", "variance", "count").summary(F.col("x")).alias("x"),
-        Summarizer.metrics("sum").summary(F.col("y")).alias("y"),
-    ).first()
-    n = int(row["x"]["count"])
-    mean = row["x"]["mean"].toArray()
-    std = np.sqrt(row["x"]["variance"].toArray() * max(n - 1, 0) / max(n, 1))
-    positives = row["y"]["sum"].toArray()
-    if not (np.isfinite(mean).all() and np.isfinite(std).all() and np.isfinite(positives).all()):
-        raise ValueError("Inputs and labels must not have missing or infinite values.")
-    return {"n": n, "mean": mean, "scale": np.where(std > 0, std, 1.0), "positives": positives}
-
-
-def _run_epoch(data: DataFrame, state: np.ndarray, steps: int, epoch: int, network: Network, pos_weight, lr: float):
-    """One pass of every replica over its partition; returns the averaged state, steps taken, mean loss."""
-    settings, shapes, depth = network.settings, network.shapes, network.depth
-    spark = data.sparkSession
-    shared = spark.sparkContext.broadcast((state, pos_weight, network.mean, network.scale))
-
-    size = settings["batch_size"]
-
-    def minibatches(batches):
-        """Inputs and labels, ``batch_size`` rows at a time; what is left of a transport batch goes before the next."""
-        x, y = None, None
-        for batch in batches:
-            if len(batch):
-                more = np.stack(batch["features"].to_list()), np.stack(batch["labels"].to_list())
-                x, y = more if x is None else (np.concatenate([x, more[0]]), np.concatenate([y, more[1]]))
-                whole = len(x) - len(x) % size
-                for at in range(0, whole, size):
-                    yield x[at : at + size], y[at : at + size].astype("float32")
-                x, y = x[whole:], y[whole:]
-        if x is not None and len(x):
-            yield x, y.astype("float32")
-
-    def train(batches):
-        start, weight, mean, scale = shared.value
-        local = start.copy()
-        layers = unpack(local[0], shapes)
-        rng = np.random.default_rng([settings["random_state"], epoch, TaskContext.get().partitionId()])
-        step, total, rows = steps, 0.0, 0
-        for raw, y in minibatches(batches):
-            x = ((raw - mean) / scale).astype("float32")
-            logits, hidden, kept = forward(layers, x, depth, settings["dropout_rate"], rng)
-            loss, d_logits = weighted_bce(logits, y, weight)
-            grads, _ = backward(layers, hidden, kept, d_logits)
-            step += 1
-            flat = np.concatenate([grads[name].ravel() for name, _ in shapes]).astype("float32")
-            adam_step(local, flat, step, lr, settings["weight_decay"], settings["gradient_clip"])
-            total += loss * len(x)
-            rows += len(x)
-        if rows:
-            flat = local.ravel()
-            for chunk, at in enumerate(range(0, flat.size, STATE_CHUNK)):
-                yield pd.DataFrame(
-                    {"chunk": [chunk], "rows": [rows], "loss": [total], "steps": [step], "part": [flat[at : at + STATE_CHUNK].tobytes()]}
-                )
-
-    schema = "chunk int, rows bigint, loss double, steps bigint, part binary"
-
-    def average(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        share = parts["rows"] / parts["rows"].sum()
-        mean = sum(w * np.frombuffer(p, dtype="float32") for w, p in zip(share, parts["part"])).astype("float32")
-        return pd.DataFrame(
-            {"chunk": [key[0]], "rows": [parts["rows"].sum()], "loss": [parts["loss"].sum()], "steps": [parts["steps"].max()], "part": [mean.tobytes()]}
-        )
+@dataclass(frozen=True)
+class Scaling:
+    """What a model takes from its own training rows: input mean and scale, and the weight of a positive per label."""
 
-    ordered = data.sortWithinPartitions(F.xxhash64("key", F.lit(epoch)), "key").select("features", "labels")
-    # A group is one chunk of the state (1 MB) from each replica.
-    trained = ordered.mapInPandas(train, schema).groupBy("chunk").applyInPandas(average, schema)
-    rows = sorted(trained.collect(), key=lambda r: r["chunk"])
-    flat = np.concatenate([np.frombuffer(r["part"], dtype="float32") for r in rows])
-    shared.unpersist()
-    return flat.reshape(state.shape).copy(), rows[0]["steps"], rows[0]["loss"] / rows[0]["rows"]
+    mean: np.ndarray
+    scale: np.ndarray
+    positive: np.ndarray
 
 
-def _loss(data: DataFrame, parameters: np.ndarray, network: Network, pos_weight) -> float:
-    shapes, depth = network.shapes, network.depth
-    shared = data.sparkSession.sparkContext.broadcast((parameters, pos_weight, network.mean, network.scale))
+def _scalings(rows: DataFrame, models: list[int], settings: dict) -> tuple[dict[int, Scaling], int]:
+    """By model, from one pass over ``fold, held, features, labels``; and the most training rows that a model has."""
+    vectors = rows.select("fold", "held", array_to_vector("features").alias("x"), array_to_vector("labels").alias("y"))
+    found = vectors.groupBy("fold", "held").agg(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("x")).alias("x"), Summarizer.metrics("sum").summary(F.col("y")).alias("y")
+    ).collect()  # a row for each fold and part
+    out, most = {}, 0
+    for model in models:
+        own = [r for r in found if r["fold"] != model]
+        if not own:
+            raise ValueError("There are no rows to train on.")
+        n = np.array([r["x"]["count"] for r in own], dtype=float)
+        means, spread = (np.stack([r["x"][k].toArray() for r in own]) for k in ("mean", "variance"))
+        mean = n @ means / n.sum()
+        std = np.sqrt(((n - 1) @ spread + n @ (means - mean) ** 2) / n.sum())
+        trained = [(r["x"]["count"], r["y"]["sum"].toArray()) for r in own if not r["held"]]
+        size, positives = sum(t[0] for t in trained), sum(t[1] for t in trained)
+        if not (np.isfinite(mean).all() and np.isfinite(std).all() and np.isfinite(positives).all()):
+            raise ValueError("Inputs and labels must not have missing or infinite values.")
+        weight = np.ones_like(positives)
+        if settings["use_pos_weight"]:
+            weight = np.clip(np.where(positives > 0, (size - positives) / np.maximum(positives, 1), 1.0), 1.0, 1e6)
+        if not settings["standardize_inputs"]:
+            mean, std = np.zeros_like(mean), np.ones_like(std)
+        out[model], most = Scaling(mean, np.where(std > 0, std, 1.0), weight), max(most, size)
+    return out, most
+
+
+STATE = "model int, chunk int, slice bigint, rows bigint, loss double, steps bigint, part binary"
+STATE_NAMES = ["model", "chunk", "slice", "rows", "loss", "steps", "part"]
+_STATE_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
+
+
+def _chunks(model: int, slice_: int, flat: np.ndarray, rows: int, loss: float, steps: int) -> pa.Table:
+    parts = [flat[at : at + STATE_CHUNK].astype("<f4").tobytes() for at in range(0, flat.size, STATE_CHUNK)]
+    columns = [[model] * len(parts), range(len(parts)), [slice_] * len(parts), [rows] * len(parts), [loss] * len(parts), [steps] * len(parts), parts]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _STATE_TYPES, strict=True)], names=STATE_NAMES)
+
+
+_NOTHING = pa.table([pa.array([], t) for t in _STATE_TYPES], names=STATE_NAMES)
+
+
+def _flat(chunks: pa.Table) -> np.ndarray:
+    order = np.argsort(chunks.column("chunk").to_numpy())
+    parts = chunks.column("part").to_pylist()
+    return np.concatenate([np.frombuffer(parts[i], dtype="<f4") for i in order])
+
+
+def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+
+def _averaged(state: DataFrame, slices: int) -> DataFrame:
+    """One row per model and chunk: the mean over slices, weighted by rows, FAN_IN slices at a time."""
+
+    def average(parts: pa.Table) -> pa.Table:
+        rows = parts.column("rows").to_numpy()
+        mean = sum(w * np.frombuffer(p.as_py(), dtype="<f4") for w, p in zip(rows / rows.sum(), parts.column("part"), strict=True))
+        first = {c: parts.column(c)[0].as_py() for c in ("model", "chunk", "slice")}
+        values = [*first.values(), int(rows.sum()), float(np.sum(parts.column("loss").to_numpy())), int(np.max(parts.column("steps").to_numpy())), mean.astype("<f4").tobytes()]
+        return pa.table([pa.array([v], t) for v, t in zip(values, _STATE_TYPES, strict=True)], names=STATE_NAMES)
+
+    while slices > 1:
+        slices = -(-slices // FAN_IN)
+        state = state.withColumn("slice", F.expr(f"slice div {FAN_IN}")).groupBy("model", "chunk", "slice").applyInArrow(average, STATE)
+    return state
+
+
+@dataclass(frozen=True)
+class Replicas:
+    """Rows of some part, in cells of one model and slice each, checkpointed where they will be used."""
+
+    rows: DataFrame
+    slices: int
+
+    @staticmethod
+    def of(rows: DataFrame, models: int, slices: int) -> Replicas:
+        """``rows`` has a column ``model``. A checkpoint keeps the partitions, so only the state moves from then on."""
+        key = F.xxhash64("sample_id")
+        cell = F.col("model") * slices + F.pmod(F.xxhash64("sample_id", F.lit(slices)), F.lit(slices))
+        placed = rows.select(cell.cast("bigint").alias("cell"), key.alias("key"), "sample_id", "features", "labels")
+        return Replicas(checkpoint_by(placed, models * slices, "cell"), slices)
+
+    def meet(self, state: DataFrame, work, schema: str) -> DataFrame:
+        """``work(model, slice, rows, chunks)`` for every cell that has rows and a state."""
+        slices, nothing = self.slices, None
+
+        def run(key, rows: pa.Table, chunks: pa.Table) -> pa.Table:
+            model, slice_ = divmod(key[0].as_py(), slices)
+            return work(model, slice_, rows if rows.num_rows and chunks.num_rows else nothing, chunks)
+
+        sent = state.select("model", "chunk", "steps", "part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("at"))
+        sent = sent.select((F.col("model") * slices + F.col("at")).cast("bigint").alias("cell"), "chunk", "steps", "part")
+        return self.rows.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(run, schema)
+
+
+LOSS = "model int, loss double, rows bigint"
+SCORED = "sample_id string, probabilities array<float>, fold bigint"
+
+
+class Training:
+    """Models that learn side by side: model m from the rows of all folds but m."""
+
+    def __init__(self, rows: DataFrame, models: list[int], settings: dict, validate: bool):
+        """``rows``: sample_id, fold, features, labels; a seeded share of every fold is held out for ``validate``."""
+        self.settings, self.models, self.validate = settings, models, validate
+        rows = rows.select("sample_id", F.col("fold").cast("int").alias("fold"), "features", "labels").withColumn("held", F.lit(False))
+        if validate:
+            ranked = seeded_ordinals(rows.drop("held"), "sample_id", settings["random_state"], "fold")
+            rows = ranked.withColumn("held", F.col("ordinal") <= F.ceil(F.col("total") * F.lit(settings["validation_split"]))).drop("ordinal", "total")
+        self.rows = rows.checkpoint()
+        self.scalings, most = _scalings(self.rows, models, settings)
+        one = self.scalings[models[0]]
+        self.inputs, self.outputs = len(one.mean), len(one.positive)
+        self.shapes = layer_shapes(self.inputs, settings["hidden_layers"], self.outputs)
+        self.size = sum(int(np.prod(s)) for _, s in self.shapes)
+        self.slices = settings.get("replicas") or max(1, -(-most * (8 * self.inputs + 4 * self.outputs) // REPLICA_BYTES))
+        self.history: dict[int, list[dict]] = {m: [] for m in models}
+        self.versions: list[DataFrame] = []
+        self.final = {m: 0 for m in models}
 
-    def measure(batches):
-        flat, weight, mean, scale = shared.value
-        layers = unpack(flat, shapes)
-        for batch in batches:
-            if len(batch):
-                x = ((np.stack(batch["features"].to_list()) - mean) / scale).astype("float32")
-                loss, _ = weighted_bce(forward(layers, x, depth)[0], np.stack(batch["labels"].to_list()), weight)
-                yield pd.DataFrame({"loss": [loss * len(batch)], "rows": [len(batch)]})
+    def _of_models(self, held: bool) -> DataFrame:
+        """Rows of one part, once for each model that they are for."""
+        models = F.filter(F.array(*[F.lit(m) for m in self.models]), lambda m: m != F.col("fold"))
+        return self.rows.filter(F.col("held") == held).withColumn("model", F.explode(models))
 
-    row = data.mapInPandas(measure, "loss double, rows bigint").agg(F.sum("loss").alias("loss"), F.sum("rows").alias("rows")).first()
-    return (row["loss"] or 0.0) / max(row["rows"] or 0, 1)
+    def _shared(self):
+        return self.rows.sparkSession.sparkContext.broadcast(self.scalings)
+
+    def first_version(self) -> DataFrame:
+        """Every model starts from the same drawn parameters, made by one task a model and written chunk by chunk."""
+        shapes, seed, size = self.shapes, self.settings["random_state"], self.size
+
+        def make(batches):
+            for batch in batches:
+                for model in batch.column(0).to_pylist():
+                    flat = np.concatenate([initial_parameters(shapes, seed), np.zeros(2 * size, dtype="float32")])
+                    yield from _chunks(model, 0, flat, 0, 0.0, 0).to_batches()
+
+        spark = self.rows.sparkSession
+        named = spark.range(len(self.models)).select(F.element_at(F.array(*[F.lit(m) for m in self.models]), (F.col("id") + 1).cast("int")).alias("model"))
+        return materialise(named.mapInArrow(make, STATE), "network_state")
+
+    def epoch(self, data: Replicas, state: DataFrame, number: int, rates: dict[int, float]) -> DataFrame:
+        """The next version: every replica passes once over its rows, and the results are averaged."""
+        settings, shapes, depth, shared = self.settings, self.shapes, len(self.settings["hidden_layers"]), self._shared()
+
+        def train(model: int, slice_: int, rows: pa.Table | None, chunks: pa.Table) -> pa.Table:
+            if rows is None or model not in rates:
+                return _NOTHING
+            scaling, local = shared.value[model], _flat(chunks).reshape(3, -1).copy()
+            layers, rng = unpack(local[0], shapes), np.random.default_rng([settings["random_state"], number, slice_])
+            # By id first, then drawn: however the rows came.
+            order = rng.permutation(rows.num_rows)
+            order = np.argsort(rows.column("key").to_numpy(), kind="stable")[order]
+            x_all, y_all = _matrix(rows.column("features"), "float64"), _matrix(rows.column("labels"), "float32")
+            steps, total, size = chunks.column("steps")[0].as_py(), 0.0, settings["batch_size"]
+            for at in range(0, len(order), size):
+                own = order[at : at + size]
+                x = ((x_all[own] - scaling.mean) / scaling.scale).astype("float32")
+                logits, hidden, kept = forward(layers, x, depth, settings["dropout_rate"], rng)
+                loss, d_logits = weighted_bce(logits, y_all[own], scaling.positive)
+                grads, _ = backward(layers, hidden, kept, d_logits)
+                steps += 1
+                flat = np.concatenate([grads[name].ravel() for name, _ in shapes]).astype("float32")
+                adam_step(local, flat, steps, rates[model], settings["weight_decay"], settings["gradient_clip"])
+                total += loss * len(own)
+            return _chunks(model, slice_, local.ravel(), len(order), total, steps)
+
+        following = materialise(_averaged(data.meet(state, train, STATE), self.slices), "network_state")
+        shared.unpersist()
+        return following
+
+    def losses(self, state: DataFrame, held: Replicas | None) -> dict[tuple[str, int], float]:
+        """Mean training loss of the epoch, and held-out loss after it, by model: all that comes to the driver."""
+        shapes, depth, shared, size = self.shapes, len(self.settings["hidden_layers"]), self._shared(), self.size
+
+        def measure(model: int, slice_: int, rows: pa.Table | None, chunks: pa.Table) -> pa.Table:
+            found = ([], [], [])
+            if rows is not None:
+                scaling = shared.value[model]
+                x = ((_matrix(rows.column("features"), "float64") - scaling.mean) / scaling.scale).astype("float32")
+                loss, _ = weighted_bce(forward(unpack(_flat(chunks)[:size], shapes), x, depth)[0], _matrix(rows.column("labels"), "float32"), scaling.positive)
+                found = ([model], [loss * rows.num_rows], [rows.num_rows])
+            return pa.table([pa.array(found[0], pa.int32()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.int64())], names=["model", "loss", "rows"])
+
+        both = state.filter("chunk = 0").select("model", F.lit("train_loss").alias("kind"), "loss", "rows")
+        if held is not None:
+            both = both.unionByName(held.meet(self._parameters(state), measure, LOSS).withColumn("kind", F.lit("validation_loss")))
+        rows = both.groupBy("model", "kind").agg((F.sum("loss") / F.sum("rows")).alias("loss")).collect()
+        shared.unpersist()
+        return {(r["kind"], r["model"]): r["loss"] for r in rows}
+
+    def _parameters(self, state: DataFrame) -> DataFrame:
+        """The chunks that hold parameters, without those of moments only."""
+        return state.filter(F.col("chunk") * STATE_CHUNK < self.size)
+
+    def run(self) -> Training:
+        data = Replicas.of(self._of_models(False), max(self.models) + 1, self.slices)
+        held = Replicas.of(self._of_models(True), max(self.models) + 1, self.slices) if self.validate else None
+        watches = {m: Watch(self.settings["learning_rate"], self.settings["patience"]) for m in self.models}
+        state, active = self.first_version(), set(self.models)
+        self.versions = [state]
+        for number in range(1, self.settings["epochs"] + 1):
+            state = self.epoch(data, state.filter(F.col("model").isin(sorted(active))), number, {m: watches[m].rate for m in active})
+            self.versions.append(state)
+            found = self.losses(state, held)
+            for m in sorted(active):
+                entry = {"epoch": number, "train_loss": found["train_loss", m]}
+                self.final[m] = number
+                if held is not None:
+                    entry["validation_loss"] = found.get(("validation_loss", m), 0.0)
+                    watches[m].see(entry["validation_loss"], number)
+                    entry["learning_rate"] = watches[m].rate
+                self.history[m].append(entry)
+            active = {m for m in active if not watches[m].exhausted}
+            if not active:
+                break
+        self.final = {m: watches[m].kept or self.final[m] for m in self.models}
+        return self
+
+    def final_state(self, models: list[int]) -> DataFrame:
+        """Parameter chunks of each model's version that counts."""
+        parts = [self._parameters(self.versions[v]).filter(F.col("model").isin([m for m in models if self.final[m] == v])) for v in sorted({self.final[m] for m in models})]
+        return reduce(DataFrame.unionByName, parts)
+
+    def network(self, model: int) -> Network:
+        """A model on its own. Its parameters, bounded by the settings, come to the driver here and nowhere else."""
+        scaling = self.scalings[model]
+        flat = _flat(self.final_state([model]).select("chunk", "part").toArrow())[: self.size].copy()
+        return Network(self.inputs, self.outputs, self.settings, flat, scaling.mean, scaling.scale, self.history[model])
+
+    def score_folds(self) -> DataFrame:
+        """``sample_id, probabilities, fold``: every row by the model of its own fold, which has not seen it."""
+        shapes, depth, shared, size = self.shapes, len(self.settings["hidden_layers"]), self._shared(), self.size
+        own = Replicas.of(self.rows.withColumn("model", F.col("fold")), max(self.models) + 1, self.slices)
+
+        def score(model: int, slice_: int, rows: pa.Table | None, chunks: pa.Table) -> pa.Table:
+            ids, values = pa.array([], pa.string()), pa.array([], pa.list_(pa.float32()))
+            if rows is not None:
+                scaling = shared.value[model]
+                x = ((_matrix(rows.column("features"), "float64") - scaling.mean) / scaling.scale).astype("float32")
+                p = sigmoid(forward(unpack(_flat(chunks)[:size], shapes), x, depth)[0]).astype("float32")
+                ids = rows.column("sample_id").combine_chunks()
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
+            return pa.table([ids, values, pa.array([model] * len(ids), pa.int64())], names=["sample_id", "probabilities", "fold"])
+
+        return own.meet(self.final_state(self.models), score, SCORED)
 
 
 def fit_network(dense: DataFrame, overrides: dict | None = None, validate: bool = False) -> Network:
@@ -359,46 +529,10 @@ def fit_network(dense: DataFrame, overrides: dict | None = None, validate: bool
     state; otherwise the number of epochs is fixed. The input scaling is taken from all given rows.
     """
     shared_dir(dense.sparkSession)
-    settings = resolve_settings(overrides)
-    stats = _column_stats(dense)
-    n, outputs, inputs = stats["n"], len(stats["positives"]), len(stats["mean"])
-    if not settings["standardize_inputs"]:
-        stats["mean"], stats["scale"] = np.zeros(inputs), np.ones(inputs)
-    network = Network(inputs, outputs, settings, np.zeros(0, "float32"), stats["mean"], stats["scale"])
-
-    replicas = settings.get("replicas") or REPLICAS
-    training, held_out = dense.select("sample_id", "features", "labels"), None
-    if validate:
-        ranked = seeded_ordinals(training, "sample_id", settings["random_state"])
-        is_held_out = F.col("ordinal") <= F.ceil(F.col("total") * F.lit(settings["validation_split"]))
-        ranked = ranked.withColumn("_held_out", is_held_out).drop("ordinal", "total").checkpoint()
-        held_out = ranked.filter("_held_out").select("features", "labels")
-        training = ranked.filter("not _held_out").drop("_held_out")
-    # A checkpoint keeps the partitions as they are, so replicas see the same rows in every epoch and retry.
-    training = training.repartition(replicas, "sample_id")
-    training = training.select(F.xxhash64("sample_id").alias("key"), "features", "labels").checkpoint()
-
-    pos_weight = np.ones(outputs)
-    if settings["use_pos_weight"]:
-        counted = training.select(array_to_vector("labels").alias("y")).select(
-            Summarizer.metrics("sum", "count").summary(F.col("y")).alias("y")
-        ).first()["y"]
-        positives, rows = counted["sum"].toArray(), int(counted["count"])
-        ratio = (rows - positives) / np.maximum(positives, 1)
-        pos_weight = np.clip(np.where(positives > 0, ratio, 1.0), 1.0, 1e6)
-
-    state = np.zeros((3, sum(int(np.prod(s)) for _, s in network.shapes)), dtype="float32")
-    state[0] = initial_parameters(network.shapes, settings["random_state"])
-    steps, watch = 0, Watch(settings["learning_rate"], settings["patience"])
-    for epoch in range(1, settings["epochs"] + 1):
-        state, steps, train_loss = _run_epoch(training, state, steps, epoch, network, pos_weight, watch.rate)
-        entry = {"epoch": epoch, "train_loss": train_loss}
-        if held_out is not None:
-            entry["validation_loss"] = _loss(held_out, state[0], network, pos_weight)
-            watch.see(entry["validation_loss"], state[0])
-            entry["learning_rate"] = watch.rate
-        network.history.append(entry)
-        if watch.exhausted:
-            break
-    network.parameters = state[0] if watch.kept is None else watch.kept
-    return network
+    return Training(dense.withColumn("fold", F.lit(0)), [1], resolve_settings(overrides), validate).run().network(1)
+
+
+def fit_folds(rows: DataFrame, folds: int, overrides: dict | None = None) -> Training:
+    """Train a model for each of the folds 1, 2, ... of ``sample_id, fold, features, labels``, in the same jobs."""
+    shared_dir(rows.sparkSession)
+    return Training(rows, list(range(1, folds + 1)), resolve_settings(overrides), True).run()

@@ -61,6 +61,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpoint_by(df: DataFrame, partitions: int, column: str) -> DataFrame:
+    """A checkpoint whose rows are partitioned by ``column``, so that later groups and joins by it do not move them.
+
+    Spark forgets the partitioning of a checkpoint that was planned adaptively; hence that setting is off for this one
+    job of the session, and then as it was.
+    """
+    conf, setting = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    shared_dir(df.sparkSession)
+    before = conf.get(setting)
+    conf.set(setting, "false")
+    try:
+        return df.repartition(partitions, column).checkpoint()
+    finally:
+        conf.set(setting, before)
+
+
 def local_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
     """A small driver-side table. Arrow makes it a local relation of known size, so joins with it are broadcast
     exactly when that size allows."""

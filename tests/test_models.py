@@ -11,7 +11,7 @@ from strandfold.models.explain import explain_cohort
 from strandfold.models.trees import base_value, leaf_paths, make_classifier, make_regressor, shapley_values, with_vector
 from strandfold.operators.folds import seeded_sample
 
-FAST = {"hidden_layers": [8], "batch_size": 16, "epochs": 2, "folds": 3}
+FAST = {"hidden_layers": [10, 6], "batch_size": 12, "epochs": 3, "folds": 4}
 SAMPLES, GENES = 48, 10
 
 
@@ -117,14 +117,14 @@ def test_fit_predict_embed_and_round_trip(spark, cohort, tmp_path):
     scores = model.predict(held_out)
     assert scores.count() == 36 and {r["target"] for r in scores.collect()} == {"TP53", "MYC", "ATM"}
     assert model.predict(held_out.expression).count() == 36 and model.feature_overlap == 1.0
-    assert {len(r["embedding"]) for r in model.embed(held_out).collect()} == {8}
+    assert {len(r["embedding"]) for r in model.embed(held_out).collect()} == {FAST["hidden_layers"][-1]}
     weights = model.head_weights(spark).collect()
-    assert [r["target"] for r in weights] == ["ATM", "MYC", "TP53"] and len(weights[0]["weights"]) == 8
+    assert [r["target"] for r in weights] == ["ATM", "MYC", "TP53"] and len(weights[0]["weights"]) == FAST["hidden_layers"][-1]
     path = model.save(spark, str(tmp_path / "model"))
     again = MultiLabelModel.load(spark, path)
     both = scores.join(again.predict(held_out).withColumnRenamed("probability", "p2"), ["sample_id", "target"])
     assert both.agg(F.max(F.abs(F.col("probability") - F.col("p2")))).first()[0] < 1e-6
-    assert again.metadata["cancers"] == ["cohort"] and len(again.network.history) == 2
+    assert again.metadata["cancers"] == ["cohort"] and len(again.network.history) == FAST["epochs"]
 
 
 def test_unfitted_and_disjoint(spark, cohort):
@@ -258,13 +258,13 @@ def test_expected_gradients_add_up(spark):
 
 
 def test_watch_keeps_halves_and_stops():
-    watch, states = net.Watch(0.8, 6), [np.full(1, i) for i in range(12)]
-    for state, loss in zip(states, [1.0, 0.5, 0.499999, 0.6, 0.6], strict=False):
-        watch.see(loss, state)
-    assert watch.kept[0] == 1 and watch.rate == 0.4 and not watch.exhausted
-    for state in states[5:8]:
-        watch.see(0.7, state)
-    assert watch.exhausted and watch.rate == 0.2 and watch.kept[0] == 1
+    watch = net.Watch(0.8, 6)
+    for version, loss in enumerate([1.0, 0.5, 0.499999, 0.6, 0.6]):
+        watch.see(loss, version)
+    assert watch.kept == 1 and watch.rate == 0.4 and not watch.exhausted
+    for version in range(5, 8):
+        watch.see(0.7, version)
+    assert watch.exhausted and watch.rate == 0.2 and watch.kept == 1
 
 
 def test_training_does_not_depend_on_transport(spark):
@@ -286,3 +286,58 @@ def test_trees_are_explained_without_a_network_and_in_many_tasks(spark, cohort):
     dense, _ = planted(spark)
     part = seeded_sample(dense.repartition(8), 50, 1)
     assert part.count() == 50 and part.rdd.getNumPartitions() > 1
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_folds_are_keys_of_the_same_jobs(spark):
+    dense, _ = planted(spark, 120)
+    settings = {"hidden_layers": [6], "epochs": 2, "batch_size": 16}
+    counts = {}
+    for k in (2, 5):
+        rows = dense.withColumn("fold", F.pmod(F.crc32("sample_id"), F.lit(k)) + 1).cache()
+        rows.count()
+        counts[k] = jobs_of(spark, f"folds {k}", lambda rows=rows, k=k: net.fit_folds(rows, k, settings).score_folds().write.format("noop").mode("overwrite").save())
+    assert counts[5] <= counts[2]
+
+
+def test_a_fold_is_scored_by_a_model_that_has_not_seen_it(spark):
+    dense, _ = planted(spark, 90)
+    rows = dense.withColumn("fold", F.pmod(F.crc32("sample_id"), F.lit(3)) + 1).cache()
+    settings = {"hidden_layers": [6], "epochs": 3, "batch_size": 16, "replicas": 2}
+    trained = net.fit_folds(rows, 3, settings)
+    scored = {r["sample_id"]: r for r in trained.score_folds().collect()}
+    assert len(scored) == 90 and {r["sample_id"]: r["fold"] for r in rows.collect()} == {k: r["fold"] for k, r in scored.items()}
+    for fold in (1, 3):
+        own = trained.network(fold)
+        again = {r["sample_id"]: r["probabilities"] for r in own.predict(rows.filter(F.col("fold") == fold)).collect()}
+        assert again and all(np.allclose(scored[k]["probabilities"], v, atol=1e-5) for k, v in again.items())
+    # Other labels in a fold change the other models, not its own.
+    flipped = rows.withColumn("labels", F.when(F.col("fold") == 2, F.transform("labels", lambda v: 1 - v)).otherwise(F.col("labels")))
+    other = net.fit_folds(flipped, 3, settings)
+    assert np.allclose(other.network(2).parameters, trained.network(2).parameters, atol=1e-6)
+    assert not np.allclose(other.network(1).parameters, trained.network(1).parameters, atol=1e-4)
+
+
+def test_averaging_many_slices_in_rounds(spark):
+    rng = np.random.default_rng(3)
+    parts, rows = rng.normal(size=(70, 5)).astype("float32"), rng.integers(1, 9, 70)
+    state = spark.createDataFrame([(1, 0, i, int(rows[i]), float(i), i % 7, parts[i].tobytes()) for i in range(70)], net.STATE)
+    got = net._averaged(state, 70).collect()
+    assert len(got) == 1 and got[0]["rows"] == rows.sum() and got[0]["loss"] == sum(range(70)) and got[0]["steps"] == 6
+    assert np.allclose(np.frombuffer(got[0]["part"], dtype="<f4"), (rows @ parts) / rows.sum(), atol=1e-5)
+
+
+def test_training_rows_stay_where_they_are(spark):
+    dense, _ = planted(spark, 60)
+    run = net.Training(dense.withColumn("fold", F.lit(0)), [1], net.resolve_settings({"hidden_layers": [4], "replicas": 3}), False)
+    data, state = net.Replicas.of(run._of_models(False), 2, run.slices), run.first_version()
+    plan = data.meet(state, lambda m, s, rows, chunks: chunks.select([]), "model int")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
