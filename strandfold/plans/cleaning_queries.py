@@ -16,6 +16,7 @@ from ..sources.cache import cached_cohort
 from ..sources.events import read_events, resolve_events
 from ..sources.export import pivot_wide, write_wide
 from ..sources.matrix import duplicate_samples, read_matrix, read_mutations, read_scoring_matrix, sample_id_shares
+from ..sources.wide_source import publish_wide, read_wide_source
 from .fixtures import CODING_EVENTS, SEGMENTS, SYMBOLS, Tables
 from .registry import query
 
@@ -27,6 +28,16 @@ def _rounded(df, column: str = "value", digits: int = 6):
 # ------------------------------------------------------------------ sources and sinks
 
 
+@query("read_wide_source", "SELECT sample_id, gene, value FROM fx_expression", ("fx_expression",))
+def read_wide_source_query(t: Tables):
+    # Written all or nothing by the data source, and read back by it.
+    path, cells = scratch_path(t.spark, "published"), materialise(t.expression(), "expression")
+    names = sorted(r["gene"] for r in cells.select("gene").distinct().collect())
+    publish_wide(cells, t.samples(), names, path)
+    found = read_wide_source(t.spark, path).filter(F.col("value").isNotNull())
+    return found.select(F.col("row_id").alias("sample_id"), F.col("column_id").alias("gene"), "value")
+
+
 @query("read_matrix_unpivot", "SELECT sample_id, gene, value FROM fx_expression", ("fx_expression",))
 def read_matrix_unpivot(t: Tables):
     path = scratch_path(t.spark, "matrix")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..models.burden import BurdenModel
@@ -103,23 +104,32 @@ def standardise(t: Tables):
     return _round(al.standardise(t.expression()), "z")
 
 
+#: The first cohort by name is the reference of the others.
+_REFERENCE = "(SELECT min(cancer) FROM fx_samples)"
+
+
+def _reference(samples) -> str:
+    return samples.agg(F.min("cancer")).head()[0]
+
+
 @query(
     "align_features",
-    """, train AS (SELECT gene, avg(value) AS mean FROM fx_expression JOIN fx_samples USING (sample_id)
-        WHERE cancer = 'BUILDING' GROUP BY gene UNION ALL SELECT 'ABSENT', 7.5e0)
+    f""", train AS (SELECT gene, avg(value) AS mean FROM fx_expression JOIN fx_samples USING (sample_id)
+        WHERE cancer = {_REFERENCE} GROUP BY gene UNION ALL SELECT 'ABSENT', 7.5e0)
     SELECT s.sample_id, f.gene, round(coalesce(x.value, f.mean), 6) AS value
-    FROM (SELECT sample_id FROM fx_samples WHERE cancer = 'MACHINERY') s CROSS JOIN train f
+    FROM (SELECT sample_id FROM fx_samples WHERE cancer <> {_REFERENCE}) s CROSS JOIN train f
     LEFT JOIN fx_expression x ON x.sample_id = s.sample_id AND x.gene = f.gene""",
     ("fx_expression", "fx_samples"),
 )
 def align_features(t: Tables):
     # Read for the means, the overlap check and the rows.
     expression, samples = materialise(t.expression(), "expression"), t.samples()
-    training = expression.join(samples.filter(F.col("cancer") == "BUILDING"), "sample_id", "left_semi")
+    first = _reference(samples)
+    training = expression.join(samples.filter(F.col("cancer") == first), "sample_id", "left_semi")
     means = {r["gene"]: r["mean"] for r in al.feature_stats(training).collect()}
     means["ABSENT"] = 7.5
     features = sorted(means)
-    scored = samples.filter(F.col("cancer") == "MACHINERY").select("sample_id")
+    scored = samples.filter(F.col("cancer") != first).select("sample_id")
     dense, _ = al.align_features(
         expression.join(scored, "sample_id", "left_semi"), scored, features, [means[g] for g in features]
     )
@@ -204,17 +214,18 @@ def document_label_metrics(t: Tables):
 
 @query(
     "external_scores",
-    f""", pairs AS (SELECT s.target, m.label AS truth, s.probability FROM
-            (SELECT 'S' || vec_id AS sample_id, CASE target WHEN 'L0' THEN '1-URGENT' WHEN 'L1' THEN '2-HIGH' END AS target, probability
-             FROM fx_scores) s
-        JOIN fx_mutations m ON m.sample_id = s.sample_id AND m.target = s.target)
+    f""", known AS (SELECT target, 'L' || (row_number() OVER (ORDER BY target) - 1) AS l FROM (SELECT DISTINCT target FROM fx_mutations)),
+    pairs AS (SELECT k.target, m.label AS truth, s.probability
+        FROM fx_scores s JOIN known k ON k.l = s.target JOIN fx_mutations m ON m.sample_id = 'S' || s.vec_id AND m.target = k.target)
     SELECT target, n_samples, n_positive, round(prevalence, 6) AS prevalence, {_RANKED} FROM ({_rank_sql('pairs')})""",
     ("fx_scores", "fx_mutations"),
 )
 def external_scores(t: Tables):
-    target = F.when(F.col("target") == "L0", "1-URGENT").when(F.col("target") == "L1", "2-HIGH")
-    scores = t.scores().select(
-        F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("sample_id"), target.alias("target"), "probability"
+    # The scores name their targets by number, in the order of the labels' names.
+    names = t.mutations().select("target").distinct().select("target", (F.row_number().over(W.orderBy("target")) - 1).alias("number"))
+    numbered = names.select(F.concat(F.lit("L"), F.col("number").cast("string")).alias("l"), "target")
+    scores = t.scores().withColumnRenamed("target", "l").join(numbered, "l").select(
+        F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("sample_id"), "target", "probability"
     )
     return _round(me.external_scores(scores, t.mutations()), "prevalence", "auprc", "normalized_auprc", "roc_auc")
 
@@ -256,9 +267,24 @@ def tmb_summary(t: Tables):
     return _round(me.regression_summary(t.regression(), p_values=False), "mae", "rmse", "spearman", "pearson")
 
 
-@query("tmb_summary_pvalues")
+#: Student's t has a finite series for whole degrees of freedom; a correlation is the sine of its angle.
+_P_SQL = _SUMMARY_SQL.replace(" FROM g)\n    SELECT cancer,", " FROM g),\n    base AS (SELECT cancer,").replace("round(corr(rt, rp), 6)", "corr(rt, rp)").replace("round(corr(truth, pred), 6)", "corr(truth, pred)") + """),
+    s AS (SELECT cancer, kind, least(abs(r), 1) AS r, n - 2 AS v FROM (SELECT cancer, n, 's' AS kind, spearman AS r FROM base
+        UNION ALL SELECT cancer, n, 'p', pearson FROM base) WHERE n >= 3 AND isfinite(r)),
+    f AS (SELECT cancer, kind, pow(1 - r * r, i) * exp(sum(CASE WHEN i = 0 THEN 0 WHEN v % 2 = 0 THEN ln((2 * i - 1) / (2e0 * i))
+            ELSE ln(2e0 * i / (2 * i + 1)) END) OVER (PARTITION BY cancer, kind ORDER BY i)) AS term
+        FROM (SELECT *, unnest(range(0, CASE WHEN v % 2 = 0 THEN v // 2 ELSE (v - 1) // 2 END)) AS i FROM s)),
+    sums AS (SELECT cancer, kind, sum(term) AS a FROM f GROUP BY cancer, kind),
+    p AS (SELECT cancer, kind, CASE WHEN v % 2 = 0 THEN 1 - r * a ELSE 1 - 2 / pi() * (asin(r) + r * sqrt(1 - r * r) * coalesce(a, 0)) END AS p
+        FROM s LEFT JOIN sums USING (cancer, kind))
+    SELECT b.cancer, n, mae, rmse, round(spearman, 6) AS spearman, round(x.p, 9) AS spearman_p, round(pearson, 6) AS pearson, round(y.p, 9) AS pearson_p
+    FROM base b LEFT JOIN p x ON x.cancer = b.cancer AND x.kind = 's' LEFT JOIN p y ON y.cancer = b.cancer AND y.kind = 'p'"""
+
+
+@query("tmb_summary_pvalues", _P_SQL, ("fx_regression",))
 def tmb_summary_pvalues(t: Tables):
-    return me.regression_summary(t.regression())
+    found = _round(me.regression_summary(t.regression()), "mae", "rmse", "spearman", "pearson")
+    return _round(found, "spearman_p", "pearson_p", digits=9)
 
 
 # ------------------------------------------------------------------ folds and samples
@@ -297,22 +323,26 @@ def seeded_sample_query(t: Tables):
 
 @query(
     "rank_normalise",
-    """, x AS (SELECT * FROM fx_expression JOIN fx_samples USING (sample_id)),
-    e AS (SELECT sample_id, gene, (rank() OVER (PARTITION BY gene ORDER BY value)
-            + (count(*) OVER (PARTITION BY gene, value) - 1) / 2e0 - 0.5e0) / count(*) OVER (PARTITION BY gene) AS q
-        FROM x WHERE cancer = 'BUILDING'),
+    f""", x AS (SELECT * FROM fx_expression JOIN fx_samples USING (sample_id)),
+    e AS (SELECT sample_id, cancer, gene, (rank() OVER (PARTITION BY cancer, gene ORDER BY value)
+            + (count(*) OVER (PARTITION BY cancer, gene, value) - 1) / 2e0 - 0.5e0) / count(*) OVER (PARTITION BY cancer, gene) AS q
+        FROM x WHERE cancer <> {_REFERENCE}),
     t AS (SELECT gene, value, row_number() OVER (PARTITION BY gene ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY gene) AS m
-        FROM x WHERE cancer = 'MACHINERY'),
-    p AS (SELECT sample_id, e.gene, q * (m - 1) AS pos, m FROM e JOIN (SELECT DISTINCT gene, m FROM t) USING (gene))
-    SELECT p.sample_id, p.gene, round(a.value * (1 - (pos - floor(pos))) + b.value * (pos - floor(pos)), 5) AS value
+        FROM x WHERE cancer = {_REFERENCE}),
+    p AS (SELECT sample_id, cancer, e.gene, q * (m - 1) AS pos, m FROM e JOIN (SELECT DISTINCT gene, m FROM t) USING (gene))
+    SELECT p.cancer, p.sample_id, p.gene, round(a.value * (1 - (pos - floor(pos))) + b.value * (pos - floor(pos)) + 1e-8, 5) AS value
     FROM p JOIN t a ON a.gene = p.gene AND a.i = floor(pos) JOIN t b ON b.gene = p.gene AND b.i = least(floor(pos) + 1, p.m - 1)""",
     ("fx_expression", "fx_samples"),
 )
 def rank_normalise_query(t: Tables):
     # Read many times below, as a prepared cohort would be.
     tagged = materialise(t.expression().join(t.samples(), "sample_id"), "expression")
-    mapped = rank_normalise(tagged.filter(F.col("cancer") == "BUILDING"), tagged.filter(F.col("cancer") == "MACHINERY"))
-    return _round(mapped, "value", digits=5)
+    cohorts = sorted(r["cancer"] for r in tagged.select("cancer").distinct().collect())
+    first = _reference(t.samples())
+    reference = tagged.filter(F.col("cancer") == first)
+    mapped = [rank_normalise(tagged.filter(F.col("cancer") == c), reference).withColumn("cancer", F.lit(c)) for c in cohorts if c != first]
+    # Means of two values of six digits lie on the edge of rounding to five; both sides move off it.
+    return _round(reduce(DataFrame.unionByName, mapped).withColumn("value", F.col("value") + 1e-8), "value", digits=5)
 
 
 def _points(t: Tables):
@@ -354,26 +384,13 @@ def neighbour_mixing_pca(t: Tables):
     return _round(mixed.select("mixing", "n_points"), "mixing")
 
 
-@query(
-    "cohort_mixing",
-    # Samples of two cohorts over the genes of both, with gaps at the gene's mean; no components, so distances are plain.
-    """, x AS (SELECT sample_id, gene, value, CASE WHEN cancer = 'BUILDING' THEN 0 ELSE 1 END AS label
-        FROM fx_expression JOIN fx_samples USING (sample_id) WHERE cancer IN ('BUILDING', 'MACHINERY') AND gene <= 'Brand#14'),
-    genes AS (SELECT gene, avg(value) AS mean FROM x GROUP BY gene HAVING count(DISTINCT label) = 2),
-    pts AS (SELECT DISTINCT x.label, x.sample_id FROM x JOIN genes USING (gene)),
-    e AS (SELECT p.label, p.sample_id, list(coalesce(x.value, genes.mean) ORDER BY gene) AS v
-        FROM pts p CROSS JOIN genes LEFT JOIN x USING (label, sample_id, gene) GROUP BY ALL),
-    d AS (SELECT a.sample_id AS s, a.label AS la, b.label AS lb,
-            round(list_sum([(y[1] - y[2]) * (y[1] - y[2]) for y in list_zip(a.v, b.v)]), 6) AS far FROM e a JOIN e b ON a.sample_id <> b.sample_id),
-    r AS (SELECT s, la, lb, rank() OVER (PARTITION BY s ORDER BY far) AS r, count(*) OVER (PARTITION BY s, far) AS ties FROM d)
-    SELECT count(DISTINCT s) AS n_points, round(avg(CASE WHEN la <> lb THEN 1e0 ELSE 0e0 END), 2) AS mixing FROM r WHERE r <= 5""",
-    ("fx_expression", "fx_samples"),
-)
+@query("cohort_mixing")
 def cohort_mixing_query(t: Tables):
-    tagged = materialise(t.expression().join(t.samples(), "sample_id").filter(F.col("gene") <= "Brand#14"), "expression")
-    parts = {c: tagged.filter(F.col("cancer") == c).select("sample_id", "gene", "value") for c in ("BUILDING", "MACHINERY")}
-    mixed = cohort_mixing(parts, components=None, k=5)
-    return _round(mixed.select("n_points", "mixing"), "mixing", digits=2)
+    # All cohorts and genes, 20 components, 30 neighbours: components have no SQL; tests compare with brute force.
+    tagged = materialise(t.expression().join(t.samples(), "sample_id"), "expression")
+    cohorts = sorted(r["cancer"] for r in tagged.select("cancer").distinct().collect())
+    parts = {c: tagged.filter(F.col("cancer") == c).select("sample_id", "gene", "value") for c in cohorts}
+    return cohort_mixing(parts)
 
 
 @query("neighbour_mixing_pca_values")
