@@ -22,6 +22,7 @@ from ..operators.folds import plain_folds, seeded_sample, stratified_folds
 from ..operators.transfer import cohort_mixing, neighbour_mixing, principal_components, rank_normalise
 from ..session import materialise, scratch_path
 from ..streaming.burden import windowed_burden
+from ..streaming.cells import gather_samples, keyed_state
 from ..streaming.run import drain, drain_updates, score_stream
 from .fixtures import CODING_EVENTS, Tables
 from .registry import query
@@ -678,3 +679,45 @@ def stream_scores_values(t: Tables):
 def stream_scores(t: Tables):
     model = _trained(t)
     return _same_scores(_streamed(t, model), model.predict(t.vector_cohort()))
+
+
+#: Cells of the vectors as they might arrive: one in eleven is missing.
+_ARRIVING = """, cells AS (SELECT 'V' || vec_id AS sample_id, 'G' || lpad(i::VARCHAR, 3, '0') AS gene, v AS value FROM
+        (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE (vec_id * 64 + i) % 11 <> 0),
+    means AS (SELECT gene, avg(value) AS mean FROM cells GROUP BY gene)"""
+
+
+def _arriving(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A stream of cells, some of them twice, and the same cells as a table. A last row without a sample moves the time on."""
+    flat = t.table("embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "value"))
+    flat = flat.withColumn("cell_id", F.col("vec_id") * 64 + F.col("i")).filter("cell_id % 11 != 0")
+    cells = flat.select(
+        "cell_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") % 600).alias("ts"), F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("sample_id"),
+        F.format_string("G%03d", "i").alias("gene"), "value",
+    )
+    cells = materialise(cells, "arriving_cells")
+    end = cells.limit(1).select(F.lit(-1).cast("bigint").alias("cell_id"), F.timestamp_seconds(F.lit(1_700_100_000)).alias("ts"), F.lit(None).cast("string").alias("sample_id"), F.lit(None).cast("string").alias("gene"), F.lit(None).cast("double").alias("value"))
+    path = scratch_path(t.spark, "cell_stream")
+    cells.unionByName(cells.filter("cell_id % 7 = 0")).unionByName(end).write.parquet(path)
+    return t.spark.readStream.schema(cells.schema).parquet(path), cells.select("sample_id", "gene", "value")
+
+
+@query("stream_gather", _ARRIVING + """ SELECT s.sample_id, m.gene, round(coalesce(c.value, m.mean), 6) AS value
+    FROM (SELECT DISTINCT sample_id FROM cells) s CROSS JOIN means m LEFT JOIN cells c ON c.sample_id = s.sample_id AND c.gene = m.gene""")
+def stream_gather(t: Tables):
+    stream, cells = _arriving(t)
+    means = {r["gene"]: r["mean"] for r in al.feature_stats(cells).collect()}
+    names = sorted(means)
+    with keyed_state(t.spark):
+        dense = drain(gather_samples(stream, names, [means[g] for g in names]), "stream_gather")
+    return _round(al.long_rows(dense.select("sample_id", "features"), names), "value")
+
+
+@query("stream_align_scores", _ARRIVING + " SELECT DISTINCT sample_id, 'T' || label AS target, true AS equal FROM cells, (SELECT DISTINCT label FROM embeddings)")
+def stream_align_scores(t: Tables):
+    # Scores of samples that were gathered from cells are those of the same cells in a batch.
+    model = _trained(t)
+    stream, cells = _arriving(t)
+    with keyed_state(t.spark):
+        dense = drain(gather_samples(stream, model.features, model.feature_means), "stream_align")
+    return _same_scores(model.score_dense(dense), model.predict(cells))
