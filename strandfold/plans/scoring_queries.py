@@ -16,6 +16,7 @@ from ..models.trees import balanced_weights, leaf_paths, make_classifier, tree_s
 from ..operators import align as al
 from ..operators import cohort as co
 from ..operators import metrics as me
+from ..operators import summaries as su
 from ..operators import targets as ta
 from ..operators.attribution import attribution_summary, top_attributions
 from ..operators.folds import plain_folds, seeded_sample, stratified_folds
@@ -95,6 +96,30 @@ def feature_stats(t: Tables):
     return _round(al.feature_stats(t.expression()), "mean", "std", "scale")
 
 
+@query(
+    "merged_feature_stats",
+    """, x AS (SELECT gene, value, cancer FROM fx_expression JOIN fx_samples USING (sample_id))
+    SELECT gene, count(*) AS n, count(DISTINCT cancer) AS parts, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
+        round(CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END, 6) AS scale FROM x GROUP BY gene""",
+    ("fx_expression", "fx_samples"),
+)
+def merged_feature_stats(t: Tables):
+    # A state per cohort, merged: no cohort is read for another's sake.
+    states = materialise(su.gene_states(t.expression().join(t.samples(), "sample_id"), "cancer"), "gene_states")
+    return _round(su.stats_from_states(states), "mean", "std", "scale")
+
+
+@query(
+    "merged_prevalence",
+    """SELECT target, cast(sum(label) AS BIGINT) AS n_positive, (SELECT count(*) FROM fx_samples) AS n_samples,
+        round(sum(label) / (SELECT count(*) FROM fx_samples), 6) AS prevalence FROM fx_mutations SEMI JOIN fx_samples USING (sample_id) GROUP BY target""",
+    ("fx_mutations", "fx_samples"),
+)
+def merged_prevalence(t: Tables):
+    positives, sizes = su.target_states(t.mutations(), t.samples(), "cancer")
+    return _round(su.prevalence_from_states(materialise(positives, "target_states"), sizes), "prevalence")
+
+
 @query(
     "standardise",
     f"""SELECT sample_id, gene, value, round((value - mean) / CASE WHEN std > 0 THEN std ELSE 1 END, 6) AS z
