@@ -14,6 +14,21 @@ from ..operators.align import feature_stats
 from ..operators.cohort import Cohort
 
 
+# The facts that a run's metadata can state, by name.
+FACTS = (
+    "model", "target", "method", "output_scale", "cancers", "folds", "split_method", "n_samples", "n_features", "n_targets",
+    "n_training_samples", "n_explained_samples", "top_features_saved_per_sample", "samples_without_coding_mutation_events",
+    "classification_threshold", "score_note",
+)
+
+
+def run_facts(**facts) -> dict:
+    """Metadata of a run, in the order of FACTS; a fact without a name there is an error."""
+    if unknown := set(facts) - set(FACTS):
+        raise ValueError(f"Not a fact of a run: {sorted(unknown)}")
+    return {name: facts[name] for name in FACTS if name in facts}
+
+
 def expression_of(data: Cohort | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Expression cells and the samples to score, from a cohort or a bare expression table."""
     if isinstance(data, Cohort):

@@ -17,7 +17,7 @@ from ..operators.folds import assign_folds
 from ..operators.metrics import evaluate
 from ..session import local_table, shared_dir
 from ..sources.export import read_metadata, write_bundle
-from .common import expression_of, feature_table
+from .common import expression_of, feature_table, run_facts
 from .explain import Explanation, explain_target, labelled_rows
 from .network import Network, fit_folds, fit_network, resolve_settings
 
@@ -98,7 +98,7 @@ class MultiLabelModel:
 
     def _described(self, rows: DataFrame, features: list[str], targets: list[str], **more) -> dict:
         """Facts of a run, for its bundle."""
-        return {"model": self.settings, "n_targets": len(targets), "n_features": len(features), "n_samples": rows.count(), **more}
+        return run_facts(model=self.settings, n_samples=rows.count(), n_features=len(features), n_targets=len(targets), **more)
 
     def fit(self, data: Cohort) -> MultiLabelModel:
         dense, features, means, targets = self._training(data)

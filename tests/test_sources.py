@@ -37,7 +37,7 @@ def zipped(path, text):
 
 @pytest.fixture()
 def files(tmp_path):
-    zipped(tmp_path / "e" / "LUAD.tsv.gz", f"id\t{A}\t{B}\nENSG1.1\t1\t2\nENSG2.1\t2\t3\nENSG3.1\t5\t6\n")
+    zipped(tmp_path / "e" / "LUAD.tsv.gz", f"id\t{A}\t{B}\nENSG1.1\t3\t0\nENSG2.1\t0\t4\nENSG3.1\t1\t2\n")
     zipped(tmp_path / "m" / "LUAD.tsv.gz", "gene\tTCGA-AB-0001-01\tTCGA-AB-0002-01\nTP53\t1\t0\nKRAS\t0\t1\n")
     zipped(tmp_path / "g" / "annotation.gtf.gz", GTF)
     events = "sample\teffect\n" + f"{A}\tMissense_Mutation\n{A}\tSilent\n{A}\tSplice_Site\nTCGA-AB-0002-01\tIn_Frame_Del\n"
@@ -63,7 +63,7 @@ def test_annotation(spark, files):
 def test_files_to_cohort(spark, files):
     data = Cohort.from_files(spark, ["luad"], **paths(files))
     cells = {(r["sample_id"], r["gene"]): r["value"] for r in data.expression.collect()}
-    assert cells == {(A, "A"): pytest.approx(2.0), (B, "A"): pytest.approx(5.0)}
+    assert cells == {(A, "A"): pytest.approx(3.5), (B, "A"): pytest.approx(7.5)}
     assert {r["target"] for r in data.targets.collect()} == {"TP53", "KRAS"}
     summary = data.summary().first()
     assert (summary["n_samples"], summary["n_features"], summary["n_targets"], summary["cancers"]) == (2, 1, 2, ["LUAD"])
