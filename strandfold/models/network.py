@@ -44,6 +44,9 @@ NORM_EPS = 1e-5
 STATE_CHUNK = 1 << 18
 #: Bytes of training rows in a replica: the number of replicas follows the data. The setting ``replicas`` overrides it.
 REPLICA_BYTES = 64 << 20
+GOLDEN = (5**0.5 - 1) / 2
+#: Antithetic pairs of a batch of an attribution, about.
+PAIRS = 32
 #: Replicas that are averaged together; more take further rounds.
 FAN_IN = 32
 
@@ -230,11 +233,15 @@ class Network:
         return self._mapped(dense, "embedding", lambda logits, hidden: hidden)
 
     def expected_gradients(
-        self, dense: DataFrame, target_index: int, background: np.ndarray, draws: int = 200, seed: int = 42
+        self, dense: DataFrame, target_index: int, background: np.ndarray, draws: int = 200, seed: int = 42, tolerance: float | None = None
     ) -> DataFrame:
-        """``sample_id, shap``: expected gradients of one target's probability in standardised space.
+        """``sample_id, shap, n_draws, residual``: expected gradients of one target's probability in standardised space.
 
-        Each row draws background rows and blend factors from a generator seeded by its own id.
+        Draws come in batches of antithetic pairs: a blend and its mirror image with the same background row. Background
+        rows are taken in turn, in an order drawn for each row by its own id. What a draw's attributions add up to
+        differs from the difference of the two probabilities by noise of mean 0; with a ``tolerance``, a row stops as
+        soon as every background row was used and the standard error of that noise is no larger, at ``draws`` at the latest.
+        ``residual`` is by how much the attributions miss the row's probability less the mean one of the background.
         """
         shared = dense.sparkSession.sparkContext.broadcast(
             (self.parameters, self.mean, self.scale, (background - self.mean) / self.scale)
@@ -244,23 +251,48 @@ class Network:
         def explain(batches):
             parameters, mean, scale, base = shared.value
             layers = unpack(parameters, shapes)
-            for batch in batches:
-                rows = []
-                for key, values in zip(batch["key"], batch["features"]):
-                    rng = np.random.default_rng([seed, int(key[:15], 16)])
-                    picked = base[rng.integers(0, len(base), draws)]
-                    blend = rng.random((draws, 1))
-                    x = (np.asarray(values) - mean) / scale
-                    logits, hidden, kept = forward(layers, blend * x + (1.0 - blend) * picked, depth)
+
+            def probability(x: np.ndarray) -> np.ndarray:
+                return sigmoid(forward(layers, x, depth)[0][:, target_index])
+
+            of_base = probability(base)
+
+            def one(key: str, x: np.ndarray) -> tuple[np.ndarray, int, float]:
+                rng, of_row = np.random.default_rng([seed, int(key[:15], 16)]), float(probability(x[None, :])[0])
+                order, begins = rng.permutation(len(base)), rng.random(len(base))
+                total, noise, pairs = np.zeros(len(x)), [], 0
+                # Whole rounds of the background, so that every row of it counts alike.
+                size = len(order) * max(1, PAIRS // len(order))
+                while 2 * pairs < draws:
+                    n = min(size, -(-draws // 2) - pairs)
+                    turn, place = np.divmod(np.arange(pairs, pairs + n), len(order))
+                    own = order[place]
+                    # From round to round the blends of a background row go on by the golden ratio, which spreads them evenly.
+                    blend = ((begins[place] + turn * GOLDEN) % 1.0)[:, None]
+                    apart = np.tile(x - base[own], (2, 1))
+                    blended = np.concatenate([blend, 1.0 - blend]) * apart + np.tile(base[own], (2, 1))
+                    logits, hidden, kept = forward(layers, blended, depth)
                     p = sigmoid(logits[:, target_index])
-                    d = np.zeros((draws, outputs))
+                    d = np.zeros((2 * n, outputs))
                     d[:, target_index] = p * (1.0 - p)
-                    _, slope = backward(layers, hidden, kept, d)
-                    rows.append(((x - picked) * slope).mean(axis=0))
-                yield pd.DataFrame({"sample_id": batch["sample_id"], "shap": rows})
+                    parts = apart * backward(layers, hidden, kept, d)[1]
+                    total += parts.sum(axis=0)
+                    noise.append((parts[:n] + parts[n:]).sum(axis=1) / 2 - (of_row - of_base[own]))
+                    pairs += n
+                    if tolerance is not None and pairs >= 2 * PAIRS:
+                        seen = np.concatenate(noise)
+                        if seen.std(ddof=1) / np.sqrt(len(seen)) <= tolerance:
+                            break
+                shap = total / (2 * pairs)
+                return shap, 2 * pairs, float(shap.sum() - (of_row - of_base.mean()))
+
+            for batch in batches:
+                found = [one(key, (np.asarray(values) - mean) / scale) for key, values in zip(batch["key"], batch["features"])]
+                columns = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pd.DataFrame({"sample_id": batch["sample_id"], "shap": list(columns[0]), "n_draws": list(columns[1]), "residual": list(columns[2])})
 
         keyed = dense.select("sample_id", "features", F.md5("sample_id").alias("key"))
-        return keyed.mapInPandas(explain, "sample_id string, shap array<double>")
+        return keyed.mapInPandas(explain, "sample_id string, shap array<double>, n_draws int, residual double")
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -633,6 +634,27 @@ def head_weights(t: Tables):
     return head_weights_values(t).select("target", F.size("weights").alias("width"), _all_finite("weights").alias("finite"))
 
 
+@query("embedding_logits", _VECTORS + " SELECT sample_id, target, true AS equal FROM v, g")
+def embedding_logits(t: Tables):
+    # A score's logit is the embedding times the head's weights, plus a number that belongs to the target alone.
+    model, cohort = _trained(t), t.vector_cohort()
+    rows = model.predict(cohort).join(model.embed(cohort), "sample_id").join(model.head_weights(t.spark), "target")
+    product = F.aggregate(F.zip_with("embedding", "weights", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    gaps = materialise(rows.select("sample_id", "target", (F.log(F.col("probability") / (1 - F.col("probability"))) - product).alias("gap")), "gaps")
+    bias = gaps.groupBy("target").agg(F.avg("gap").alias("bias"))
+    return gaps.join(bias, "target").select("sample_id", "target", F.coalesce(F.abs(F.col("gap") - F.col("bias")) < 1e-3, F.lit(False)).alias("equal"))
+
+
+@query("network_completeness", _VECTORS + " SELECT sample_id, true AS complete FROM v")
+def network_completeness(t: Tables):
+    # Attributions add up to the row's probability less the background's, within what the draws were stopped at.
+    model = _trained(t)
+    dense = materialise(model.align(t.vector_cohort()), "dense")
+    background = np.array([r["features"] for r in seeded_sample(dense, 50, 1).select("features").collect()])
+    found = model.network.expected_gradients(dense, 0, background, draws=2000, tolerance=1e-2)
+    return found.select("sample_id", (F.abs("residual") <= 0.02).alias("complete"))
+
+
 @query("network_attribution_values")
 def network_attribution_values(t: Tables):
     return _trained(t).explain(t.vector_cohort(), "T0", "neural", draws=20).summary

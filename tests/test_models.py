@@ -341,3 +341,16 @@ def test_training_rows_stay_where_they_are(spark):
     data, state = net.Replicas.of(run._of_models(False), 2, run.slices), run.first_version()
     plan = data.meet(state, lambda m, s, rows, chunks: chunks.select([]), "model int")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_attributions_stop_when_they_are_complete(spark):
+    dense, _ = planted(spark, 60)
+    model = net.fit_network(dense, {"hidden_layers": [8], "epochs": 5, "batch_size": 16, "learning_rate": 0.02})
+    background = np.array([r["features"] for r in dense.limit(20).collect()])
+    loose, tight = (model.expected_gradients(dense, 1, background, draws=6000, tolerance=e).collect() for e in (2e-2, 4e-3))
+    assert all(abs(r["residual"]) < 2e-2 for r in loose) and all(abs(r["residual"]) < 4e-3 for r in tight)
+    assert sum(r["n_draws"] for r in loose) < sum(r["n_draws"] for r in tight)
+    p = {r["sample_id"]: r["probabilities"][1] for r in model.predict(dense).collect()}
+    base = np.mean([p[r["sample_id"]] for r in dense.limit(20).collect()])
+    for r in tight:
+        assert sum(r["shap"]) - r["residual"] == pytest.approx(p[r["sample_id"]] - base, abs=1e-4)
