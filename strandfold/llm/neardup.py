@@ -7,8 +7,8 @@ values equal and a uniform prior the similarity has the posterior Beta(m + 1, n
 as the posterior chance of reaching the threshold is below ``miss``. What survives is decided on the full sets.
 
 No bucket is expanded into pairs. Each bucket first meets only its smallest member; what that links is merged, and only
-buckets that still hold several components are looked at again, a block of members against a block at a time, inside a
-task that has the full sets and gives only links which connect something new. So no link between components is lost,
+buckets that still hold several components are looked at again, those of one smallest member together, a block of members
+against a block at a time, inside a task that has the full sets and gives only links which connect something new. So no link between components is lost,
 a pair is looked at in one bucket only, and a bucket whose members are all alike costs one pair per member.
 
 Shingles are compared by 64-bit hashes (see ``words``): two different shingles of a pair of documents coincide with a
@@ -51,7 +51,8 @@ class Settings:
     batch: int = 32
     batches: int = 3
     miss: float = 1e-6
-    block: int = 256
+    block: int = 2048
+    block_bytes: int = 8 << 20
     seed: int = 17
 
 
@@ -217,66 +218,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links_between(ids, comps, band, bands, signatures, sets, left, right, same: bool, settings: Settings) -> list[tuple[int, int]]:
+def _links_between(ids, labels, band, bands, signatures, sets, left, right, same: bool, settings: Settings) -> list[tuple[int, int]]:
     """Links that join the components of some members of one bucket, enough of them to connect what is connected.
 
-    A pair is looked at in the first band that it shares, so in one bucket only; most similar signatures come first, and
-    a pair that is connected by then is passed over.
+    ``labels``, the members' components, are merged as links are found, and a pair that is connected by then is passed
+    over. A pair is looked at in the first band that it shares, so in one bucket only; of a member's partners those with the
+    most similar signatures come first.
     """
-    root = {c: c for c in set(comps[left].tolist()) | set(comps[right].tolist())}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    found, out = [], []
+    out = []
     for n, i in enumerate(left.tolist()):
         rest = right[n + 1 :] if same else right
-        rest = rest[comps[rest] != comps[i]]
-        if band:
+        rest = rest[labels[rest] != labels[i]]
+        if band and len(rest):
             rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
-        rest = rest[survives(np.broadcast_to(signatures[i], (len(rest), signatures.shape[1])), signatures[rest], settings)]
-        equal = (signatures[rest] == signatures[i]).sum(axis=1)
-        found += [(-e, i, j) for e, j in zip(equal.tolist(), rest.tolist(), strict=True)]
-    for _, i, j in sorted(found):
-        a, b = find(int(comps[i])), find(int(comps[j]))
-        if a != b and alike(sets[i], sets[j], settings.percent):
-            root[max(a, b)] = min(a, b)
-            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        if len(rest):
+            rest = rest[survives(np.broadcast_to(signatures[i], (len(rest), signatures.shape[1])), signatures[rest], settings)]
+        for j in rest[np.argsort(-(signatures[rest] == signatures[i]).sum(axis=1), kind="stable")].tolist():
+            if labels[j] != labels[i] and alike(sets[i], sets[j], settings.percent):
+                labels[labels == labels[j]] = labels[i]
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
     return out
 
 
 def between_components(contested: DataFrame, reps: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between different components inside buckets, from full sets.
 
-    ``contested``: key, band, id, component, n (members of the bucket). A bucket of more than ``block`` members is cut
-    into blocks that meet two at a time; smaller buckets share a group of about that many rows. Only links come out.
+    ``contested``: key, band, pivot, id, component. Buckets of near copies mostly have the same pivot, so buckets of
+    one pivot are taken together and a member comes once for all of them. If these members are more than ``block``, or their
+    sets more than ``block_bytes``, they are cut into blocks that meet two at a time; fewer share a cell with others. Only links
+    come out.
     """
-    groups = max(1, -(-contested.filter(F.col("n") <= settings.block).count() // settings.block))
-    blocks = F.ceil(F.col("n") / settings.block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    placed = contested.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        F.when(F.col("n") > settings.block, F.col("key")).otherwise(F.pmod("key", F.lit(groups))).alias("cell"), (F.col("n") > settings.block).alias("large"),
-        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "band", "id", "component",
+    own = contested.groupBy("pivot", "id", "component").agg(F.collect_list(F.struct("key", "band")).alias("buckets"))
+    own = own.join(reps, "id").join(sets, "id")
+    own = materialise(own, "contested_members")
+    size = own.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("members") + 1024).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / settings.block), F.ceil(F.col("bytes") / settings.block_bytes)).cast("int")
+    size = materialise(size.select("pivot", parts.alias("parts"), "bytes"), "contested_sizes")
+    groups = max(1, -(-(size.filter("parts = 1").agg(F.sum("bytes")).head()[0] or 0) // settings.block_bytes))
+    placed = own.join(broadcast_if_small(size.drop("bytes")), "pivot").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.when(F.col("parts") > 1, F.col("pivot")).otherwise(F.pmod(F.xxhash64("pivot"), F.lit(groups))).alias("cell"), (F.col("parts") > 1).alias("large"),
+        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "buckets", "id", "component", "bands", "signature", "members",
     )
-    full = placed.join(reps, "id").join(sets, "id")
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        ids, comps, keys, band, own = (cell.column(c).to_numpy() for c in ("id", "component", "key", "band", "own"))
+        ids, labels, own = cell.column("id").to_numpy(), cell.column("component").to_numpy().copy(), cell.column("own").to_numpy()
         low, high = cell.column("low")[0].as_py(), cell.column("high")[0].as_py()
         signatures, members = _matrix(cell.column("signature").chunk(0), "<u2"), [np.frombuffer(x.as_buffer(), dtype=SET) for x in cell.column("members")]
         bands = cell.column("bands").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
-        order, out = np.lexsort((ids, keys)), []
-        for bucket in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
-            left, right = bucket[own[bucket] == low], bucket[own[bucket] == high]
+        lists = cell.column("buckets").chunk(0)
+        key, band = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        row = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+        order, out = np.lexsort((ids[row], key)), []
+        for bucket in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            left, right = row[bucket][own[row[bucket]] == low], row[bucket][own[row[bucket]] == high]
             if len(left) and len(right):
-                out += _links_between(ids, comps, int(band[bucket[0]]), bands, signatures, members, left, right, low == high, settings)
+                out += _links_between(ids, labels, int(band[bucket[0]]), bands, signatures, members, left, right, low == high, settings)
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return full.groupBy("cell", "large", "low", "high").applyInArrow(run, PAIR)
+    return placed.groupBy("cell", "large", "low", "high").applyInArrow(run, PAIR)
 
 
 def link_classes(reps: DataFrame, docs: DataFrame, settings: Settings, doc: str, text: str, unique: bool) -> DataFrame:
@@ -291,8 +292,8 @@ def link_classes(reps: DataFrame, docs: DataFrame, settings: Settings, doc: str,
     links = materialise(confirm(alive, docs, settings, doc, text, unique), "links")
     labels = components(links)
     current = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    open_ = current.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("n"))
-    open_ = materialise(open_.filter("_low != _high").select("key", "n"), "open")
+    open_ = current.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    open_ = materialise(open_.filter("_low != _high").select("key").join(buckets, "key"), "open")
     contested = materialise(current.join(broadcast_if_small(open_), "key"), "contested")
     if not contested.limit(1).count():
         return labels
