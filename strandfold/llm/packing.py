@@ -36,14 +36,17 @@ PAD = 50256
 POOL_BYTES = 8 << 20
 #: Fixed value: how the vocabulary's authors cut text before merging bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Coarser than PATTERN and cutting only where it cuts: words with what touches them, and white space.
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: What the remembered ids of one task may take, and what one of them takes beside its bytes.
 CACHE_BYTES, ENTRY_BYTES = 24 << 20, 200
-#: A chunk of more characters is not remembered.
+#: A text of more characters is not remembered, and white space of more is taken out of a text.
 LONG_CHUNK = 64
-#: What PATTERN and CHUNK both take for white space.
+#: Characters that are given to the vocabulary at once, about.
+PIECE = 1 << 16
+#: What PATTERN takes for white space.
 BLANK = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = re.compile(f"[{BLANK}]{{{LONG_CHUNK + 1},}}")
+#: PATTERN cuts here whatever comes before: white space never ends a piece of other characters.
+BREAK = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
 ID = "<u2"
 
 
@@ -55,34 +58,51 @@ def _encoder(vocabulary: bytes):
     return tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts that PATTERN would cut too, and whether one is a long run of white space."""
+    at = 0
+    for run in LONG_BLANK.finditer(text):
+        yield from ((part, False) for part in _bounded(text[at : run.start()]))
+        # The last one of a run goes with what follows.
+        at = run.end() - (run.end() < len(text))
+        yield text[run.start() : at], True
+    yield from ((part, False) for part in _bounded(text[at:]))
+
+
+def _bounded(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE and (found := BREAK.search(text, at + PIECE)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 class Encoder:
-    """Ids of texts; words repeat, so their ids are remembered, in a bounded number of bytes."""
+    """Ids of texts; short ones repeat, so theirs are remembered, in a bounded number of bytes."""
 
     def __init__(self, vocabulary: bytes):
         self.encoding, self.known, self.held = _encoder(vocabulary), {}, 0
 
-    def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) > LONG_CHUNK and not chunk.strip(BLANK):
+    def _whole(self, text: str) -> np.ndarray:
+        parts = []
+        for piece, blank in _pieces(text):
             # White space alone is one piece of PATTERN, which would try it from every place of a long run.
-            ids = self.encoding._core_bpe.encode_single_piece(chunk.encode())
-        else:
-            ids = self.encoding.encode_ordinary(chunk)
-        return np.array(ids, dtype=ID).tobytes()
+            ids = self.encoding._core_bpe.encode_single_piece(piece.encode()) if blank else self.encoding.encode_ordinary(piece)
+            parts.append(np.array(ids, dtype=ID))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def encode(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        for chunk in CHUNK.findall(text):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= LONG_CHUNK:
-                    self.held += ENTRY_BYTES + len(ids) + len(chunk)
-                    if self.held > CACHE_BYTES:
-                        known.clear()
-                        self.held = 0
-                    known[chunk] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=ID)
+        if len(text) > LONG_CHUNK:
+            return self._whole(text)
+        ids = self.known.get(text)
+        if ids is None:
+            ids = self._whole(text)
+            self.held += ENTRY_BYTES + ids.nbytes + len(text)
+            if self.held > CACHE_BYTES:
+                self.known.clear()
+                self.held = ENTRY_BYTES + ids.nbytes + len(text)
+            self.known[text] = ids
+        return ids
 
 
 def decode(ids: np.ndarray, vocabulary: bytes) -> str:

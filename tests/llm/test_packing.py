@@ -81,3 +81,25 @@ def test_the_cache_is_bounded_in_bytes():
     encoder = pk.Encoder(pk.read_vocabulary())
     encoder.encode(" ".join(f"x{i}" for i in range(200_000)) + " " + "y" * 100_000)
     assert encoder.held <= pk.CACHE_BYTES and all(len(k) <= pk.LONG_CHUNK for k in encoder.known)
+
+
+def test_a_text_is_encoded_at_once_and_long_ones_in_pieces(monkeypatch):
+    # Before, every word went to the vocabulary by itself.
+    vocabulary = pk.read_vocabulary()
+    encoder, whole = pk.Encoder(vocabulary), pk._encoder(vocabulary)
+
+    class Counted:
+        calls, _core_bpe = 0, whole._core_bpe
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return whole.encode_ordinary(text)
+
+    encoder.encoding = counted = Counted()
+    words = [f"{'\n' * (i % 4)}w{i}{' ' * (i % 3)},\x1c it's {i * i}" for i in range(3000)]
+    text = " ".join(words) + "  "
+    assert encoder.encode(text).tolist() == whole.encode_ordinary(text) and counted.calls <= 3
+    monkeypatch.setattr(pk, "PIECE", 100)
+    assert encoder.encode(text).tolist() == whole.encode_ordinary(text) and counted.calls > 100
+    parts = [p for p, _ in pk._pieces(text + " " * 200 + "end")]
+    assert "".join(parts) == text + " " * 200 + "end" and max(map(len, parts)) <= 250
