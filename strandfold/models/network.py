@@ -49,6 +49,8 @@ GOLDEN = (5**0.5 - 1) / 2
 PAIRS = 32
 #: Replicas that are averaged together; more take further rounds.
 FAN_IN = 32
+#: Rows that go through a network at once where none is trained.
+SCORED_ROWS = 4096
 
 
 class Watch:
@@ -353,7 +355,23 @@ def _flat(chunks: pa.Table) -> np.ndarray:
 
 
 def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+    """Part by part into one array: beside the column itself, nothing else of its size is held."""
+    parts = [c for c in column.chunks if len(c)]
+    out = np.empty((len(column), len(parts[0].flatten()) // len(parts[0]) if parts else 0), dtype=kind)
+    at = 0
+    for part in parts:
+        out[at : at + len(part)] = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+        at += len(part)
+    return out
+
+
+def _logits(layers: dict, rows: pa.Table, scaling: Scaling, depth: int) -> np.ndarray:
+    """Of all rows, a bounded number at a time."""
+    found = []
+    for at in range(0, rows.num_rows, SCORED_ROWS):
+        x = _matrix(rows.column("features").slice(at, SCORED_ROWS), "float64")
+        found.append(forward(layers, ((x - scaling.mean) / scaling.scale).astype("float32"), depth)[0])
+    return np.concatenate(found)
 
 
 def _averaged(state: DataFrame, slices: int) -> DataFrame:
@@ -485,8 +503,7 @@ class Training:
             found = ([], [], [])
             if rows is not None:
                 scaling = shared.value[model]
-                x = ((_matrix(rows.column("features"), "float64") - scaling.mean) / scaling.scale).astype("float32")
-                loss, _ = weighted_bce(forward(unpack(_flat(chunks)[:size], shapes), x, depth)[0], _matrix(rows.column("labels"), "float32"), scaling.positive)
+                loss, _ = weighted_bce(_logits(unpack(_flat(chunks)[:size], shapes), rows, scaling, depth), _matrix(rows.column("labels"), "float32"), scaling.positive)
                 found = ([model], [loss * rows.num_rows], [rows.num_rows])
             return pa.table([pa.array(found[0], pa.int32()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.int64())], names=["model", "loss", "rows"])
 
@@ -544,9 +561,7 @@ class Training:
         def score(model: int, slice_: int, rows: pa.Table | None, chunks: pa.Table) -> pa.Table:
             ids, values = pa.array([], pa.string()), pa.array([], pa.list_(pa.float32()))
             if rows is not None:
-                scaling = shared.value[model]
-                x = ((_matrix(rows.column("features"), "float64") - scaling.mean) / scaling.scale).astype("float32")
-                p = sigmoid(forward(unpack(_flat(chunks)[:size], shapes), x, depth)[0]).astype("float32")
+                p = sigmoid(_logits(unpack(_flat(chunks)[:size], shapes), rows, shared.value[model], depth)).astype("float32")
                 ids = rows.column("sample_id").combine_chunks()
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
             return pa.table([ids, values, pa.array([model] * len(ids), pa.int64())], names=["sample_id", "probabilities", "fold"])

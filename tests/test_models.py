@@ -354,3 +354,24 @@ def test_attributions_stop_when_they_are_complete(spark):
     base = np.mean([p[r["sample_id"]] for r in dense.limit(20).collect()])
     for r in tight:
         assert sum(r["shap"]) - r["residual"] == pytest.approx(p[r["sample_id"]] - base, abs=1e-4)
+
+
+def test_rows_of_a_replica_are_scored_a_few_at_a_time(monkeypatch):
+    # Before, the scaled copies of all rows of a replica were held at once.
+    import pyarrow as pa
+
+    from strandfold.models import network as nn
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4))
+    parts = [pa.array(p.tolist(), pa.list_(pa.float64())) for p in np.array_split(x, 4)]
+    column = pa.chunked_array([*parts, pa.array([], pa.list_(pa.float64()))])
+    assert (nn._matrix(column, "float64") == x).all() and nn._matrix(column.slice(5, 40), "float32").dtype == "float32"
+    shapes = nn.layer_shapes(4, [3], 2)
+    layers, scaling = nn.unpack(nn.initial_parameters(shapes, 1), shapes), nn.Scaling(x.mean(0), x.std(0), np.ones(2))
+    seen, whole = [], nn.forward
+    want = whole(layers, ((x - scaling.mean) / scaling.scale).astype("float32"), 1)[0]
+    monkeypatch.setattr(nn, "forward", lambda p, rows, *a: seen.append(len(rows)) or whole(p, rows, *a))
+    monkeypatch.setattr(nn, "SCORED_ROWS", 16)
+    got = nn._logits(layers, pa.table({"features": column}), scaling, 1)
+    assert max(seen) == 16 and sum(seen) == 90 and got == pytest.approx(want, abs=1e-6)
