@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline
 from strandfold.llm import mixing as mx
 
 
@@ -48,3 +49,11 @@ def test_sample_follows_targets(spark):
     assert mx.sample_by_weight(docs.limit(0)).count() == 0
     again = {r["doc_id"] for r in mx.sample_by_weight(docs.repartition(7), targets).collect() if r["sampled"]}
     assert again == {r["doc_id"] for r in got if r["sampled"]}
+
+
+def test_pipeline_mixes_a_large_source_down(spark):
+    # Of equal documents, 6,000 against 100: rates are as 60^(0.9 - 1). At the power 0.97, 88 of 100 large ones stayed.
+    rows = [(i, "the same words in every text", "en", "small" if i % 61 == 0 else "large") for i in range(6100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = [r["source"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert kept.count("small") == 100 and abs(kept.count("large") / 6000 - 60 ** (0.9 - 1)) < 0.03
